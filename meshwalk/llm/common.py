@@ -1,13 +1,17 @@
-"""Shared column helpers and the durable cut used by the corpus operators."""
+"""Shared column helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwalk.plans.durable import cut, shared_dir
+
+__all__ = ["alnum_words_of", "ascii_lower", "cut", "let", "shared_dir", "ship", "small_batches", "table", "text_of", "words_of"]
+
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Everything that is not a digit, a lower-case letter or a code point above 127.
@@ -44,29 +48,6 @@ def alnum_words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_ALNUM), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own in local mode alone."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="meshwalk-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that lineage ends there.
-
-    The table survives the loss of executors, unlike cached blocks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,3 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound an Arrow batch to so many rows; long texts make larger ones costly."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def ship(module: str) -> None:
+    """Send the functions of a module with each task, as executors may not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -10,6 +10,7 @@ from . import decontaminate as dc
 from . import license_scan as ls
 from . import quality_rules as qr
 from . import secret_scan as ss
+from . import simhash_tiles as sh
 from .common import table
 
 
@@ -25,11 +26,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.digest(dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]))
 
 
+def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sh.digest(sh.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.digest(ls.license_scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_mcd, op3_secret_links, op6_decontaminate, op10_license_join)
+    f.__name__: f for f in (op1_quality_mcd, op3_secret_links, op6_decontaminate, op7_simhash_tiles, op10_license_join)
 }
 ORACLES: dict[str, str] = {}
