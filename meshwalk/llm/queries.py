@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as dc
+from . import harmonic_packing as hp
 from . import license_scan as ls
 from . import quality_rules as qr
 from . import secret_scan as ss
@@ -14,6 +15,12 @@ from . import simhash_tiles as sh
 from .common import table
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qr.quality_rules(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc.doc_id", *qr.COUNTS, "base_failed", "kept")
 
@@ -30,11 +37,15 @@ def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.digest(sh.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hp.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.digest(ls.license_scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_mcd, op3_secret_links, op6_decontaminate, op7_simhash_tiles, op10_license_join)
+    f.__name__: f for f in (op1_quality_mcd, op3_secret_links, op6_decontaminate, op7_simhash_tiles, op8_harmonic_packing, op10_license_join)
 }
 ORACLES: dict[str, str] = {}
