@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import debruijn_dedup as db
 from . import decontaminate as dc
 from . import harmonic_packing as hp
 from . import license_scan as ls
@@ -29,6 +30,10 @@ def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.digest(ss.secret_scan(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return db.digest(db.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.digest(dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]))
 
@@ -46,6 +51,6 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_mcd, op3_secret_links, op6_decontaminate, op7_simhash_tiles, op8_harmonic_packing, op10_license_join)
+    f.__name__: f for f in (op1_quality_mcd, op3_secret_links, op4_debruijn_dedup, op6_decontaminate, op7_simhash_tiles, op8_harmonic_packing, op10_license_join)
 }
 ORACLES: dict[str, str] = {}
