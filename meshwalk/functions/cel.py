@@ -260,7 +260,7 @@ def kind_of(simple_type: str) -> str:
         return "int"
     if t in ("float", "double") or t.startswith("decimal"):
         return "double"
-    return {"boolean": "bool", "string": "string", "timestamp": "time", "date": "time"}.get(t, t)
+    return {"boolean": "bool", "string": "string", "timestamp": "time", "timestamp_ntz": "time", "date": "time"}.get(t, t)
 
 
 def columns_of(dtypes: list[tuple[str, str]], at: Callable[[str], Column] = F.col) -> Resolver:

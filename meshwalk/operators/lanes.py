@@ -120,6 +120,11 @@ class MultiLane:
         return out
 
     def repeat_until_stable(self, relation: str, max_hops: int = 1024, direction: str = "out") -> MultiLane:
+        from meshwalk.plans.compiler import doubled, is_functional
+
+        rel = self.catalog.relation(relation)
+        if self.tripped is None and (rel.multiplicity or 9) <= 1 and max_hops >= 1000 and is_functional(rel.edges, direction):
+            return replace(self, lanes=doubled(self.lanes.select("lane", "node"), rel.edges, direction))
         return replace(self, lanes=lane_closure(self.lanes, self._edges(relation, None), direction, max_hops, self.tripped))
 
     def union(self, other: MultiLane) -> MultiLane:

@@ -315,7 +315,7 @@ def run(text: str, catalog: GraphCatalog, params: Mapping[str, Any] | None = Non
     if plain and plain[0] in catalog.relations:
         seed = catalog.spark.createDataFrame([(given[0],)], ["node"])
         name = next(a.name for a in goal.args if isinstance(a, Var))
-        return closure(seed, catalog.relation(plain[0]).edges, plain[1], 1000, include_seed).select(F.col("node").alias(name))
+        return closure(seed, catalog.relation(plain[0]).edges, plain[1], 1000, include_seed, (catalog.relation(plain[0]).multiplicity or 9) <= 1).select(F.col("node").alias(name))
     ev = Evaluator(catalog, rules)
     ev.solve()
     out = ev.bind(goal, ev.base(goal)).distinct()

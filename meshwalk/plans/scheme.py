@@ -158,7 +158,8 @@ class Evaluator:
         return hop(first, self.catalog.relation(str(r[1])).edges)
 
     def do_fixpoint(self, r: list) -> DataFrame:
-        return closure(self._set(r, 3), self.catalog.relation(str(r[0]) or str(r[2][1])).edges, "in" if len(r) > 2 and r[2][0] == "csc-walk" else "out", int(r[1]))
+        rel = self.catalog.relation(str(r[0]) or str(r[2][1]))
+        return closure(self._set(r, 3), rel.edges, "in" if len(r) > 2 and r[2][0] == "csc-walk" else "out", int(r[1]), True, (rel.multiplicity or 9) <= 1)
 
     def _pair(self, r: list) -> tuple[DataFrame, DataFrame]:
         here = self.current  # both sides start from what is current

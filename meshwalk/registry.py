@@ -5,6 +5,578 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshwalk.functions import math_catalog as M
+from meshwalk.operators import algebra as A
+from meshwalk.operators import algorithms as G
+from meshwalk.operators import lookups as K
+from meshwalk.operators import sampling as S
+from meshwalk.operators import statistics as T
+from meshwalk.operators import vectors as V
+from meshwalk.operators.components import connected_components
+from meshwalk.operators.edge_programs import EdgeProgram
+from meshwalk.operators.lanes import MultiLane, lane_hop
+from meshwalk.plans.catalog import GraphCatalog
+from meshwalk.plans.engine import Engine
+from meshwalk.plans.traversal import traverse
+from meshwalk.sources import deltas, generators
+from meshwalk.sources.tables import graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def on_graph(name: str, sql: str | None = None):
+    """Register a function of the star-schema graph under ``name``."""
+
+    def of(f: Callable[[GraphCatalog], DataFrame]) -> Callable[[GraphCatalog], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(graph(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = " ".join(sql.split())
+        return f
+
+    return of
+
+
+def on_text(name: str, text: str, sql: str | None = None, **options) -> None:
+    """Register a query text."""
+    on_graph(name, sql)(lambda g: Engine(g).query(text, **options))
+
+
+# Relations in SQL.
+PLACED = "SELECT o_custkey AS src, o_orderkey AS dst FROM orders"
+CONTAINS = "SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem"
+CO = """co AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS orders FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a
+    JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
+NEXT = "nx AS (SELECT * FROM (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
+FOUR = """FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN lineitem l2 ON l2.l_partkey = l.l_partkey JOIN orders o2 ON o2.o_orderkey = l2.l_orderkey"""
+
+# ------------------------------------------------------------------ traversals
+
+
+@on_graph("flagship_all_seeds", f"SELECT o.o_custkey AS lane, count(DISTINCT o2.o_custkey) AS n {FOUR} GROUP BY 1")
+def flagship(g: GraphCatalog) -> DataFrame:
+    """Customers that bought some part that a customer bought, for all customers at once."""
+    seeds = g.domain("customer").nodes.select(F.col("node").alias("lane"), "node")
+    m = MultiLane(g, seeds, "customer").out("PLACED").out("CONTAINS").in_("CONTAINS").in_("PLACED")
+    return m.lanes.groupBy("lane").agg(F.count("*").alias("n"))
+
+
+@on_graph("four_hops", f"SELECT DISTINCT o2.o_custkey AS node {FOUR} WHERE o.o_custkey = 1")
+def four_hops(g):
+    return traverse(g).from_("customer", 1).out("PLACED").out("CONTAINS").in_("CONTAINS").in_("PLACED").nodes()
+
+
+@on_graph("hop_out", "SELECT DISTINCT l_partkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (1, 2, 4)")
+def hop_out(g):
+    return traverse(g).from_("customer", 1, 2, 4).out("PLACED").out("CONTAINS").nodes()
+
+
+@on_graph("hop_in", "SELECT DISTINCT o_custkey AS node FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey IN (3, 5)")
+def hop_in(g):
+    return traverse(g).from_("part", 3, 5).in_("CONTAINS").in_("PLACED").nodes()
+
+
+@on_graph("hop_both", f"WITH {CO} SELECT DISTINCT dst AS node FROM co WHERE src = 7 UNION SELECT src FROM co WHERE dst = 7")
+def hop_both(g):
+    return traverse(g).from_("part", 7).both("CO_BOUGHT").nodes()
+
+
+@on_graph("hop_fused", "SELECT DISTINCT n_regionkey AS node FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
+def hop_fused(g):
+    return traverse(g).all("customer").filter("c_acctbal > 0").out("CUST_IN").out("NATION_IN").nodes()
+
+
+@on_graph("hop_union", "SELECT c_nationkey AS node FROM customer UNION SELECT s_nationkey FROM supplier")
+def hop_union(g):
+    g.add_relation("ALSO_IN", g.relation("SUPP_IN").edges, "src", "dst", "customer", "nation", [])
+    return traverse(g).from_frame("customer", g.domain("customer").nodes.select("node").union(g.domain("supplier").nodes.select("node"))).out(["CUST_IN", "ALSO_IN"]).nodes()
+
+
+@on_graph("virtual_relation", f"SELECT src AS node, count(*) AS degree FROM ({PLACED} UNION ALL {PLACED}) GROUP BY 1")
+def virtual_relation(g):
+    g.add_virtual("TWICE", ["PLACED", "PLACED"])
+    return T.degrees(g.relation("TWICE").edges, g.relation("TWICE").edges.select(F.col("src").alias("node")))
+
+
+@on_graph("edge_predicate", "SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02")
+def edge_predicate(g):
+    return traverse(g).all("orders").out_predicate("CONTAINS", "edge.l_quantity > 45 && edge.l_discount <= 0.02").nodes()
+
+
+@on_graph("edge_predicate_in", "SELECT DISTINCT o_custkey AS node FROM orders WHERE o_totalprice > 200000")
+def edge_predicate_in(g):
+    return traverse(g).all("orders").in_predicate("PLACED", "o_totalprice > 200000").nodes()
+
+
+@on_graph("hop_filtered", "SELECT DISTINCT l_partkey AS node FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10")
+def hop_filtered(g):
+    return traverse(g).all("orders").out_filtered("CONTAINS", traverse(g).all("part").filter("p_size < 10")).nodes()
+
+
+@on_graph("node_filter", "SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000")
+def node_filter(g):
+    return traverse(g).all("customer").filter("c_mktsegment == 'BUILDING'").filter("c_acctbal > 1000.0").nodes()
+
+
+@on_graph("prefix_filter", "SELECT p_partkey AS node FROM part WHERE p_brand LIKE 'Brand#1%'")
+def prefix_filter(g):
+    return traverse(g).all("part").filter("startsWith(p_brand, 'Brand#1')").nodes()
+
+
+@on_graph("seed_by_key", "SELECT DISTINCT o_orderkey AS node FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name IN (SELECT c_name FROM customer WHERE c_custkey IN (3, 9))")
+def seed_by_key(g):
+    names = g.domain("customer").nodes.where(F.col("node").isin(3, 9)).select(F.col("c_name").alias("key"))
+    return traverse(g).from_frame("customer", K.keys_to_nodes(names, g.domain("customer").nodes, "c_name")).out("PLACED").nodes()
+
+
+@on_graph("repeat_exact", f"WITH {CO} SELECT DISTINCT b.dst AS node FROM co a JOIN co b ON b.src = a.dst WHERE a.src = 5")
+def repeat_exact(g):
+    return traverse(g).from_("part", 5).repeat(2, "CO_BOUGHT").nodes()
+
+
+@on_graph("reach_chain", f"WITH RECURSIVE {NEXT}, r AS (SELECT min(event_id) AS node FROM events GROUP BY user_id UNION SELECT nx.dst FROM r JOIN nx ON nx.src = r.node) SELECT node FROM r")
+def reach_chain(g):
+    first = g.domain("events").nodes.groupBy("user_id").agg(F.min("node").alias("node"))
+    return traverse(g).from_frame("events", first).repeat_until_stable("NEXT_EVENT").nodes()
+
+
+@on_graph("reach_cyclic", f"WITH RECURSIVE {CO}, r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT dst FROM r JOIN co ON src = node) SELECT node FROM r")
+def reach_cyclic(g):
+    return traverse(g).from_("part", 1).repeat_until_stable("CO_BOUGHT").nodes()
+
+
+_SETS = ("SELECT p_partkey AS node FROM part WHERE p_size < 20", "SELECT p_partkey AS node FROM part WHERE p_retailprice > 1200")
+
+
+def _sets(g):
+    return traverse(g).all("part").filter("p_size < 20"), traverse(g).all("part").filter("p_retailprice > 1200.0")
+
+
+on_graph("set_union", f"{_SETS[0]} UNION {_SETS[1]}")(lambda g: _sets(g)[0].union_with(_sets(g)[1]).nodes())
+on_graph("set_intersect", f"{_SETS[0]} INTERSECT {_SETS[1]}")(lambda g: _sets(g)[0].intersect(_sets(g)[1]).nodes())
+on_graph("set_difference", f"{_SETS[0]} EXCEPT {_SETS[1]}")(lambda g: _sets(g)[0].difference(_sets(g)[1]).nodes())
+on_graph("set_complement", f"SELECT p_partkey AS node FROM part EXCEPT {_SETS[0]}")(lambda g: A.complement(g.domain("part").nodes, _sets(g)[0].nodes()))
+on_graph("set_cardinality", f"SELECT count(*) AS result FROM ({_SETS[0]})")(lambda g: _sets(g)[0].nodes().agg(F.count("*").alias("result")))
+
+
+@on_graph("degree_total", f"SELECT count(*) AS degree FROM ({PLACED}) WHERE src IN (1, 2, 4)")
+def degree_total(g):
+    return traverse(g).from_("customer", 1, 2, 4).degree("PLACED")
+
+
+@on_graph("degree_per_node", f"SELECT c_custkey AS node, count(dst) AS degree FROM customer LEFT JOIN ({PLACED}) ON src = c_custkey GROUP BY 1")
+def degree_per_node(g):
+    return traverse(g).all("customer").degree("PLACED", per_node=True)
+
+
+@on_graph("walk_reduce_sum", "SELECT l_partkey AS node, round(sum(p_retailprice), 4) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def walk_reduce_sum(g):
+    return traverse(g).all("orders").walk_reduce_sum("CONTAINS", "p_retailprice").select("node", F.round("value", 4).alias("value"))
+
+
+@on_graph("walk_reduce_min", "SELECT l_partkey AS node, min(o_totalprice) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def walk_reduce_min(g):
+    return A.walk_reduce(g.relation("CONTAINS").edges, traverse(g).all("orders").attribute("o_totalprice"), "MIN")
+
+
+@on_graph("state_vector", "SELECT p_partkey AS node, round(p_retailprice / p_size * 0.5, 6) AS value FROM part WHERE p_size > 5")
+def state_vector(g):
+    t = traverse(g).all("part").filter("p_size > 5").mul_node_attr("p_retailprice").div_node_attr("p_size").scale_state(0.5)
+    return t.state().select("node", F.round("value", 6).alias("value"))
+
+
+@on_graph("top_k", "SELECT p_partkey AS node, p_retailprice AS value FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+def top_k(g):
+    return traverse(g).all("part").project("p_retailprice").top_k(10)
+
+
+for _how, _sql in (("SUM", "round(sum(p_retailprice), 4)"), ("MIN", "min(p_retailprice)"), ("MAX", "max(p_retailprice)"), ("AVG", "round(avg(p_retailprice), 6)"), ("COUNT", "count(*)"), ("ARGMAX", "arg_max(p_partkey, p_retailprice * 1e6 - p_partkey / 1e6)")):
+    _digits = {"SUM": 4, "AVG": 6}.get(_how)
+
+    def _reduce(g, how=_how, digits=_digits):
+        t = traverse(g).all("part").filter("p_size < 20")
+        r = t.project("p_retailprice").reduce_state(how) if how.startswith("ARG") else t.reduce_attr("p_retailprice", how)
+        return r.select(F.round("result", digits).alias("result")) if digits else r
+
+    on_graph(f"reduce_{_how.lower()}", f"SELECT {_sql} AS result FROM part WHERE p_size < 20")(_reduce)
+
+
+@on_graph("valid_at", "SELECT event_id AS node FROM events WHERE epoch_ms(ts) <= 1704500000000 AND epoch_ms(ts) + 86400000 > 1704500000000")
+def valid_at(g):
+    d = g.domain("events").nodes.withColumn("s", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("e", F.unix_millis(F.col("ts").cast("timestamp")) + 86400000)
+    g.add_domain("spans", d, "node")
+    return traverse(g).all("spans").valid_at(1704500000000, "s", "e").nodes()
+
+
+@on_graph("value_map", "SELECT c_name AS key, c_acctbal AS value FROM customer WHERE c_nationkey = 3")
+def value_map(g):
+    return K.value_map(traverse(g).all("customer").filter("c_nationkey == 3").nodes(), g.domain("customer").nodes, "c_name", "c_acctbal")
+
+
+@on_graph("edge_ids", "SELECT row_number() OVER (ORDER BY src, dst, o_orderdate, o_totalprice) - 1 AS edge_id, src, dst FROM (SELECT o_custkey AS src, o_orderkey AS dst, o_orderdate, o_totalprice FROM orders)")
+def edge_ids(g):
+    return g.edge_ids("PLACED").select("edge_id", "src", "dst")
+
+
+# ----------------------------------------------------------------- expressions
+
+
+@on_graph("cel_projection", "SELECT p_partkey AS node, round(CASE WHEN p_size > 25 THEN sqrt(p_retailprice) ELSE ln(p_retailprice) + p_size % 7 END, 6) AS value FROM part")
+def cel_projection(g):
+    return traverse(g).all("part").attribute("p_size > 25 ? sqrt(p_retailprice) : log(p_retailprice) + p_size % 7").select("node", F.round("value", 6).alias("value"))
+
+
+@on_graph("cel_logic", "SELECT p_partkey AS node FROM part WHERE (p_type LIKE '%BRASS%' OR p_type LIKE 'SMALL%') AND NOT p_size IN (1, 2, 3) AND (p_size & 1) = 1")
+def cel_logic(g):
+    return traverse(g).all("part").filter("(p_type.contains('BRASS') || startsWith(p_type, 'SMALL')) && !(p_size in [1, 2, 3]) && (p_size & 1) == 1").nodes()
+
+
+@on_graph("cel_parameters", "SELECT c_custkey AS node FROM customer WHERE c_acctbal BETWEEN 100 AND 900")
+def cel_parameters(g):
+    return traverse(g).all("customer").bind(low=100, high=900).filter("c_acctbal >= $low && c_acctbal <= $high").nodes()
+
+
+@on_graph("cel_time", "SELECT o_orderkey AS node FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-01-31 00:00:00'")
+def cel_time(g):
+    return traverse(g).all("orders").filter("o_orderdate >= timestamp('1996-01-01T00:00:00Z') && o_orderdate < timestamp('1996-01-01T00:00:00Z') + duration('30d')").nodes()
+
+
+@on_graph("cel_sqrt_rule", "SELECT p_partkey AS node FROM part WHERE p_retailprice >= 0 AND p_retailprice < 1225")
+def cel_sqrt_rule(g):
+    return traverse(g).all("part").filter("sqrt(p_retailprice) < 35").nodes()
+
+
+_MATH = {
+    "abs": "abs(x)", "sqrt": "CASE WHEN x >= 0 THEN sqrt(abs(x)) END", "cbrt": "cbrt(x)", "exp2": "pow(2, x)", "exp10": "pow(10, x)", "sin": "sin(x)", "cos": "cos(x)", "tan": "tan(x)", "atan": "atan(x)", "sinh": "(exp(x) - exp(-x)) / 2",
+    "tanh": "(exp(2 * x) - 1) / (exp(2 * x) + 1)", "floor": "floor(x)", "ceil": "ceil(x)", "round": "sign(x) * floor(abs(x) + 0.5)", "trunc": "trunc(x)", "relu": "greatest(x, 0)", "leaky_relu": "CASE WHEN x > 0 THEN x ELSE 0.01 * x END",
+    "sigmoid": "1 / (1 + exp(-x))", "silu": "x / (1 + exp(-x))", "softplus": "ln(1 + exp(x))", "expm1": "exp(x) - 1", "log1p": "CASE WHEN x = -1 THEN CAST('-Infinity' AS DOUBLE) WHEN x > -1 THEN ln(abs(1 + x)) END", "rsqrt": "CASE WHEN x > 0 THEN 1 / sqrt(abs(x)) END", "lgamma": "CASE WHEN x > 0 THEN lgamma(abs(x) + CASE WHEN x > 0 THEN 0 ELSE 1 END) END",
+}
+_MATH2 = {"pow": "pow(abs(x) + 0.5, y)", "hypot": "sqrt(x * x + y * y)", "atan2": "atan2(x, y)", "copysign": "abs(x) * CASE WHEN y < 0 THEN -1 ELSE 1 END", "safe_div": "CASE WHEN y = 0 THEN 0 ELSE x / y END"}
+_XY = "SELECT l_orderkey AS o, l_linenumber AS n, (l_quantity - 25) / 10 AS x, l_linenumber - 3.0 AS y, l_partkey AS p, l_suppkey AS s FROM lineitem"
+
+
+@on_graph("math_catalog", f"SELECT o, n, p, s, {', '.join(f'round({e}, 6) AS f_{k}' for k, e in {**_MATH, **_MATH2}.items())} FROM (SELECT o, n, p, s, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM ({_XY}))")
+def math_catalog(g):
+    d = g.relation("CONTAINS").edges.select(F.col("src").alias("o"), F.col("l_linenumber").alias("n"), F.col("dst").alias("p"), F.col("l_suppkey").alias("s"), ((F.col("l_quantity") - 25) / 10).alias("x"), (F.col("l_linenumber") - 3.0).cast("double").alias("y"))
+    one = [F.round(F.when(F.col("x") > 0, M.apply(k, F.col("x"))) if k == "lgamma" else M.apply(k, F.col("x")), 6).alias(f"f_{k}") for k in _MATH]
+    two = [F.round(M.apply(k, F.abs("x") + 0.5 if k == "pow" else F.col("x"), F.col("y")), 6).alias(f"f_{k}") for k in _MATH2]
+    return d.select("o", "n", "p", "s", *one, *two)
+
+
+# ------------------------------------------------------------- vectors and sets
+
+_VEC = "SELECT p_partkey AS node, p_retailprice AS value FROM part"
+
+
+def _vec(g):
+    return traverse(g).all("part").attribute("p_retailprice")
+
+
+on_graph("vec_compare_gt", "SELECT p_partkey AS node FROM part WHERE p_retailprice > 1500")(lambda g: A.compare(_vec(g), "GT", 1500.0))
+on_graph("vec_compare_between", "SELECT p_partkey AS node FROM part WHERE p_retailprice BETWEEN 1000 AND 1100")(lambda g: A.compare(_vec(g), "BETWEEN", 1000.0, 1100.0))
+on_graph("vec_compare_vector", "SELECT p_partkey AS node FROM part WHERE p_size < p_retailprice / 40")(lambda g: A.compare(traverse(g).all("part").attribute("p_size"), "LT", A.scale(_vec(g), 1 / 40)))
+on_graph("vec_blend", "SELECT p_partkey AS node, CASE WHEN p_size < 20 THEN p_retailprice ELSE p_size END AS value FROM part")(lambda g: A.blend(_sets(g)[0].nodes(), _vec(g), traverse(g).all("part").attribute("p_size")))
+on_graph("vec_ewise", "SELECT p_partkey AS node, round(p_retailprice * p_size, 4) AS value FROM part")(lambda g: A.ewise(_vec(g), traverse(g).all("part").attribute("p_size"), "MUL").select("node", F.round("value", 4).alias("value")))
+on_graph("vec_l1", "SELECT round(sum(abs(p_retailprice - p_size)), 4) AS result FROM part")(lambda g: A.l1_difference(_vec(g), traverse(g).all("part").attribute("p_size")).select(F.round("result", 4).alias("result")))
+on_graph("vec_coalesce", "SELECT p_partkey AS node, CASE WHEN p_size < 20 THEN p_retailprice ELSE -1 END AS value FROM part")(lambda g: A.coalesce(traverse(g).all("part").attribute("p_size < 20 ? p_retailprice : null"), -1))
+on_graph("vec_valid", "SELECT p_partkey AS node FROM part WHERE p_size < 20")(lambda g: A.valid(traverse(g).all("part").attribute("p_size < 20 ? p_retailprice : null")))
+on_graph("vec_finite", _VEC)(lambda g: A.assert_finite(_vec(g)))
+
+# -------------------------------------------------------------------- semirings
+
+_X = "x AS (SELECT p_partkey AS node, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size > 10)"
+
+
+def _x(g):
+    return traverse(g).all("part").filter("p_size > 10").attribute("p_size")
+
+
+def _semiring(kind: str, agg: str, empty: str, weight: str | None) -> None:
+    on_graph(f"mxv_{kind}", f"WITH {CO}, {_X} SELECT p_partkey AS node, coalesce(v, CAST({empty} AS DOUBLE)) AS value FROM part LEFT JOIN (SELECT src, CAST({agg} AS DOUBLE) AS v FROM co JOIN x ON co.dst = x.node GROUP BY 1) ON src = p_partkey")(
+        lambda g: A.mxv(g.relation("CO_BOUGHT").edges, _x(g), kind, weight, universe=g.domain("part").nodes))
+    on_graph(f"vxm_{kind}", f"WITH {CO}, {_X} SELECT dst AS node, CAST({agg} AS DOUBLE) AS value FROM co JOIN x ON co.src = x.node GROUP BY 1")(
+        lambda g: A.vxm(g.relation("CO_BOUGHT").edges, _x(g), kind, weight))
+
+
+_semiring("plus_times", "sum(value)", "0", None)
+_semiring("plus_times_weighted", "sum(value * orders)", "0", "orders")
+_semiring("min_plus", "min(value + orders)", "'Infinity'", "orders")
+_semiring("max_min", "max(least(value, 1.0))", "0", None)
+_semiring("bool", "max(CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END)", "0", None)
+
+# ------------------------------------------------------------------- algorithms
+
+_PAIRS = "pairs AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM co)"
+_LINKS = "links AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs)"
+
+
+def _co(g):
+    return g.relation("CO_BOUGHT").edges
+
+
+def _iterated(start: str, step: str, n: int, final: str, head: str) -> str:
+    parts = [head, f"r0 AS MATERIALIZED ({start})", *(f"r{i} AS MATERIALIZED ({step.format(p=f'r{i - 1}')})" for i in range(1, n + 1))]
+    return f"WITH {', '.join(parts)} {final.format(p=f'r{n}')}"
+
+
+_NODES = "nodes AS (SELECT src AS node FROM co UNION SELECT dst FROM co)"
+
+
+@on_graph("pagerank", _iterated("SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes", "SELECT n.node, coalesce(s, 0) * 0.85 + 0.15 / (SELECT count(*) FROM nodes) AS rank FROM nodes n LEFT JOIN (SELECT co.dst, sum(r.rank / d.deg) AS s FROM co JOIN {p} r ON r.node = co.src JOIN deg d ON d.src = co.src GROUP BY 1) t ON t.dst = n.node", 5, "SELECT node, round(rank, 9) AS rank FROM {p}", f"{CO}, {_NODES}, deg AS (SELECT src, count(*) AS deg FROM co GROUP BY 1)"))
+def pagerank(g):
+    return G.pagerank(g.relation("CO_BOUGHT").edges, max_iter=5).select("node", F.round("rank", 9).alias("rank"))
+
+
+@on_graph("katz", _iterated("SELECT node, CAST(0 AS DOUBLE) AS score FROM nodes", "SELECT n.node, coalesce(s, 0) * 0.01 + 1 AS score FROM nodes n LEFT JOIN (SELECT co.dst, sum(r.score) AS s FROM co JOIN {p} r ON r.node = co.src GROUP BY 1) t ON t.dst = n.node", 4, "SELECT node, round(score, 6) AS score FROM {p}", f"{CO}, {_NODES}"))
+def katz(g):
+    return G.katz(g.relation("CO_BOUGHT").edges, max_iter=4).select("node", F.round("score", 6).alias("score"))
+
+
+@on_graph("bfs_levels", f"WITH RECURSIVE {CO}, r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN co ON src = node WHERE level < 6) SELECT node, min(level) AS level FROM r GROUP BY 1")
+def bfs_levels(g):
+    seed = g.domain("part").nodes.where("node = 1").select("node")
+    return G.bfs_levels(g.relation("CO_BOUGHT").edges, seed, 6)
+
+
+@on_graph("shortest_paths", _iterated("SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS distance", "SELECT node, min(distance) AS distance FROM (SELECT * FROM {p} UNION ALL SELECT co.dst, r.distance + co.orders FROM {p} r JOIN co ON co.src = r.node) GROUP BY 1", 8, "SELECT * FROM {p}", CO))
+def shortest_paths(g):
+    return G.shortest_paths(g.relation("CO_BOUGHT").edges, g.domain("part").nodes.where("node = 1").select("node"), "orders")
+
+
+@on_graph("components_chain", f"WITH {NEXT} SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id) AS component FROM events WHERE event_id IN (SELECT src FROM nx UNION SELECT dst FROM nx)")
+def components_chain(g):
+    return connected_components(g.relation("NEXT_EVENT").edges)
+
+
+@on_graph("triangles", f"WITH {CO}, {_PAIRS} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst")
+def triangles(g):
+    return G.triangles(_co(g))
+
+
+@on_graph("triangle_counts", f"WITH {CO}, {_PAIRS}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst) SELECT node, count(*) AS triangles FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1")
+def triangle_counts(g):
+    return G.triangle_counts(_co(g))
+
+
+@on_graph("motifs3", f"WITH {CO}, {_PAIRS}, {_LINKS}, d AS (SELECT src, count(*) AS d FROM links GROUP BY 1), t AS (SELECT count(*) AS triangles FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst) SELECT CAST((SELECT sum(d * (d - 1) // 2) FROM d) - 3 * triangles AS BIGINT) AS open_wedges, triangles FROM t")
+def motifs3(g):
+    return G.motifs3(_co(g))
+
+
+on_graph("core_numbers")(lambda g: G.core_numbers(_co(g)))
+on_graph("k_truss")(lambda g: G.k_truss(_co(g), 4))
+on_graph("hits")(lambda g: G.hits(g.relation("CO_BOUGHT").edges, max_iter=5).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority")))
+on_graph("eigenvector")(lambda g: G.eigenvector(g.relation("CO_BOUGHT").edges, max_iter=5).select("node", F.round("score", 9).alias("score")))
+on_graph("communities")(lambda g: G.communities(_co(g), 6))
+on_graph("spanning_forest")(lambda g: G.minimum_spanning_forest(_co(g), "orders"))
+on_graph("betweenness")(lambda g: G.betweenness(_co(g), g.domain("part").nodes.where("p_size = 50").select("node")).select("node", F.round("score", 6).alias("score")))
+
+
+def _supplies(g):
+    return g.relation("SUPPLIED_BY").edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+@on_graph("jaccard", f"WITH few AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), d AS (SELECT src, count(*) AS d FROM few GROUP BY 1), m AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM few x JOIN few y ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2) SELECT a, b, round(n / (p.d + q.d - n), 9) AS score FROM m JOIN d p ON p.src = a JOIN d q ON q.src = b")
+def jaccard(g):
+    return G.neighbour_similarity(_supplies(g)).select("a", "b", F.round("score", 9).alias("score"))
+
+
+@on_graph("cosine_neighbours", f"WITH few AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), d AS (SELECT src, count(*) AS d FROM few GROUP BY 1), m AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM few x JOIN few y ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2) SELECT a, b, round(n / sqrt(p.d * q.d), 9) AS score FROM m JOIN d p ON p.src = a JOIN d q ON q.src = b")
+def cosine_neighbours(g):
+    return G.neighbour_similarity(_supplies(g), "cosine").select("a", "b", F.round("score", 9).alias("score"))
+
+
+@on_graph("topological_levels", "SELECT conv_id * 1000 + turn AS node, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS level FROM (SELECT DISTINCT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n > 1")
+def topological_levels(g):
+    return G.topological_levels(g.relation("NEXT_TURN").edges)
+
+
+@on_graph("edge_weight", f"WITH {CO} SELECT min(orders) AS weight FROM co WHERE src = (SELECT min(src) FROM co) AND dst = (SELECT min(dst) FROM co WHERE src = (SELECT min(src) FROM co))")
+def edge_weight(g):
+    e = g.relation("CO_BOUGHT").edges
+    u, v = e.agg(F.min(F.struct("src", "dst"))).first()[0]
+    return A.edge_weight(e, u, v, "orders")
+
+
+on_graph("sample_neighbors")(lambda g: S.sample_neighbors(g.domain("customer").nodes.select("node"), g.relation("PLACED").edges, 3))
+on_graph("random_walks")(lambda g: S.random_walks(g.domain("part").nodes.select("node"), g.relation("CO_BOUGHT").edges, 3))
+
+# ------------------------------------------------------------------------ lanes
+
+
+def _bought(g):
+    return MultiLane(g).from_seeds("customer", [1, 2, 4, 5]).out("PLACED").out("CONTAINS")
+
+
+_LANE = "ln AS (SELECT DISTINCT list_position([1, 2, 4, 5], CAST(o_custkey AS INT)) - 1 AS lane, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (1, 2, 4, 5))"
+on_graph("lane_hops", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, node FROM ln")(lambda g: _bought(g).lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+on_graph("lane_masks", f"WITH {_LANE} SELECT node, bit_or(CAST(1 AS BIGINT) << lane) AS mask, count(*) AS popcount FROM ln GROUP BY 1")(lambda g: _bought(g).collect().select("node", "mask", F.col("popcount").cast("long").alias("popcount")))
+on_graph("lane_quorum", f"WITH {_LANE} SELECT node FROM ln GROUP BY 1 HAVING count(*) >= 2")(lambda g: _bought(g).nodes_with_quorum(2))
+on_graph("lane_where_mask", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, node FROM ln WHERE node IN (SELECT node FROM ln GROUP BY 1 HAVING bool_or(lane = 0) AND NOT bool_or(lane = 3))")(lambda g: _bought(g).where_mask([0], [3]).lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+on_graph("lane_filter", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, node FROM ln JOIN part ON p_partkey = node WHERE p_size > 20")(lambda g: _bought(g).filter("p_size > 20").lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+on_graph("lane_prune_hubs", f"WITH {_LANE}, {CO}, hub AS (SELECT src FROM co GROUP BY 1 HAVING count(*) > 100) SELECT CAST(lane AS INT) AS lane, node FROM ln WHERE NOT (node IN (SELECT src FROM hub) AND node IN (SELECT node FROM ln GROUP BY 1 HAVING count(*) < 2))")(lambda g: _bought(g).prune_hubs("CO_BOUGHT", 100, 2).lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+on_graph("lane_prune_denied", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, node FROM ln WHERE NOT (lane = 0 AND node IN (SELECT p_partkey FROM part WHERE p_size < 25))")(lambda g: _bought(g).prune_denied_by(MultiLane(g).from_groups("part", g.domain("part").nodes.where("p_size < 25").select(F.lit(0).alias("lane"), "node"))).lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+for _how, _agg in (("SUM", "round(sum(p_retailprice), 4)"), ("MIN", "min(p_retailprice)"), ("MAX", "max(p_retailprice)"), ("COUNT", "CAST(count(p_retailprice) AS DOUBLE)")):
+    on_graph(f"lane_reduce_{_how.lower()}", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, {_agg} AS result FROM ln JOIN part ON p_partkey = node GROUP BY 1")(lambda g, how=_how: _bought(g).reduce_per_lane("p_retailprice", how).select(F.col("lane").cast("int").alias("lane"), F.round("result", 4).alias("result")))
+on_graph("lane_argmax", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, node AS result FROM ln JOIN part ON p_partkey = node QUALIFY row_number() OVER (PARTITION BY lane ORDER BY p_retailprice DESC, node) = 1")(lambda g: _bought(g).reduce_per_lane("p_retailprice", "ARGMAX").select(F.col("lane").cast("int").alias("lane"), "result"))
+on_graph("lane_all_reached", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, count(*) AS reached, count(*) = (SELECT count(*) FROM part) AS all_reached FROM ln GROUP BY 1")(lambda g: _bought(g).all_reached().select(F.col("lane").cast("int").alias("lane"), "reached", "all_reached"))
+on_graph("lane_universal", f"WITH {_LANE} SELECT node FROM ln GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT lane) FROM ln)")(lambda g: _bought(g).universal_nodes())
+on_graph("lane_attribution", f"WITH {_LANE} SELECT node, array_to_string(list_sort(list(lane)), ',') AS lanes FROM ln GROUP BY 1")(lambda g: _bought(g).attribution().select("node", F.array_join(F.transform("lanes", lambda x: x.cast("string")), ",").alias("lanes")))
+on_graph("lane_steiner", f"WITH {_LANE}, {CO} SELECT src, dst FROM co WHERE src IN (SELECT node FROM ln) AND dst IN (SELECT node FROM ln)")(lambda g: _bought(g).steiner_subgraph("CO_BOUGHT", 2)[1])
+on_graph("lane_cover_pairs", f"WITH {_LANE}, m AS (SELECT node, bit_or(CAST(1 AS BIGINT) << lane) AS mask FROM ln WHERE lane < 2 GROUP BY 1) SELECT x.node AS a, y.node AS b FROM m x JOIN m y ON x.node < y.node AND (x.mask | y.mask) = 3")(lambda g: _bought(g).set_cover_pairs([0, 1]))
+on_graph("lane_greedy_cover")(lambda g: _bought(g).greedy_set_cover())
+on_graph("lane_topk_quorum", f"WITH {_LANE} SELECT node, CAST(count(*) AS DOUBLE) AS value FROM ln GROUP BY 1 HAVING count(*) >= 1 ORDER BY 2 DESC, 1 LIMIT 15")(lambda g: _bought(g).top_k_with_quorum(15, 1))
+
+
+@on_graph("lane_closure", f"WITH RECURSIVE {NEXT}, r AS (SELECT min(event_id) AS lane, min(event_id) AS node FROM events GROUP BY user_id UNION SELECT lane, dst FROM r JOIN nx ON src = node) SELECT lane, node FROM r")
+def lane_closure(g):
+    seeds = g.domain("events").nodes.groupBy("user_id").agg(F.min("node").alias("node")).select(F.col("node").alias("lane"), "node")
+    return MultiLane(g, seeds, "events").repeat_until_stable("NEXT_EVENT").lanes
+
+
+@on_graph("lane_tripped", "WITH e AS (SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey, o_orderdate, o_totalprice) - 1 AS edge_id, o_custkey AS src, o_orderkey AS dst, o_totalprice AS p FROM orders) SELECT t.lane, e.dst AS node FROM (VALUES (0), (1)) t(lane) JOIN e ON true WHERE (t.lane = 0) <> (e.p > 150000)")
+def lane_tripped(g):
+    e = g.edge_ids("PLACED")
+    tripped = e.select(F.when(F.col("o_totalprice") > 150000, 0).otherwise(1).alias("lane"), "edge_id")
+    seeds = g.domain("customer").nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("lane"), "node")
+    return lane_hop(seeds, e, "out", tripped)
+
+
+# ---------------------------------------------------------------- edge programs
+
+
+@on_graph("edge_program", "SELECT l_partkey AS node, round(sum(v), 2) AS value FROM (SELECT l_partkey, l_extendedprice * (1 - l_discount) / p_size AS v FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE v > 100 GROUP BY 1")
+def edge_program(g):
+    p = EdgeProgram(g, "CONTAINS").let("v", "edge.l_extendedprice * (1 - edge.l_discount) / tgt.p_size").where("v > 100")
+    return p.reduce("v", "SUM").select("node", F.round("value", 2).alias("value"))
+
+
+@on_graph("edge_program_argmax", "SELECT l_partkey AS node, o_totalprice AS value, o_orderkey AS arg FROM lineitem JOIN orders ON o_orderkey = l_orderkey QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def edge_program_argmax(g):
+    return EdgeProgram(g, "CONTAINS").let("p", "src.o_totalprice").reduce("p", "ARGMAX")
+
+
+@on_graph("edge_program_yield", "SELECT DISTINCT o_custkey AS node FROM orders WHERE o_totalprice > 100000 AND o_orderkey > o_custkey")
+def edge_program_yield(g):
+    return EdgeProgram(g, "PLACED", "in").where("o_totalprice > 100000 && src.id > tgt.id").targets()
+
+
+@on_graph("scatter_reduce", "SELECT node, max(value) AS value FROM (SELECT p_partkey AS node, 30.0 AS value FROM part UNION ALL SELECT l_partkey, l_quantity FROM lineitem) GROUP BY 1")
+def scatter_reduce(g):
+    old = g.domain("part").nodes.select("node", F.lit(30.0).alias("value"))
+    return A.scatter_reduce(old, g.relation("CONTAINS").edges.select(F.col("dst").alias("node"), F.col("l_quantity").alias("value")), "MAX")
+
+
+# -------------------------------------------------------------------- languages
+
+on_text("cypher_four_hops", "MATCH (c:customer)-[:PLACED]->(o)-[:CONTAINS]->(p)<-[:CONTAINS]-(o2)<-[:PLACED]-(c2) WHERE c.id = 1 RETURN c2", f"SELECT DISTINCT o2.o_custkey AS result {FOUR} WHERE o.o_custkey = 1")
+on_text("cypher_where_middle", "MATCH (c)-[:PLACED]->(o)-[:CONTAINS]->(p) WHERE o.o_totalprice > 250000 AND p.p_size < 5 RETURN c", "SELECT DISTINCT o_custkey AS result FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_totalprice > 250000 AND p_size < 5")
+on_text("cypher_count", "MATCH (p:part)-[:CO_BOUGHT]-(q) WHERE p.id = 7 RETURN count(q)", f"WITH {CO} SELECT count(*) AS result FROM (SELECT dst FROM co WHERE src = 7 UNION SELECT src FROM co WHERE dst = 7)")
+on_text("cypher_attribute", "MATCH (c)-[:CUST_IN]->(n) WHERE c.c_acctbal < 0 RETURN n.n_name", "SELECT DISTINCT n_name AS result FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0")
+on_text("cypher_sum", "MATCH (o)-[:CONTAINS]->(p) WHERE o.id IN [1, 2, 3] RETURN sum(p.p_retailprice)", "SELECT sum(p_retailprice) AS result FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (1, 2, 3))")
+on_text("cypher_quorum", "MATCH (c)-[:PLACED]->(o)-[:CONTAINS]->(p) WHERE c.id IN [1, 2, 4, 5] AND quorum >= 2 RETURN p", f"WITH {_LANE} SELECT node AS result FROM ln GROUP BY 1 HAVING count(*) >= 2")
+on_text("cypher_with_count", "MATCH (c)-[:PLACED]->(o)-[:CONTAINS]->(p) WHERE c.id IN [1, 2, 4, 5] WITH p, count(c) AS n WHERE n >= 2 RETURN p", f"WITH {_LANE} SELECT node AS result FROM ln GROUP BY 1 HAVING count(*) >= 2")
+on_text("cypher_fixpoint", "MATCH (a)-[:NEXT_EVENT*]->(b) WHERE a.id IN [1, 2, 3] RETURN b", f"WITH RECURSIVE {NEXT}, r AS (SELECT event_id AS node FROM events WHERE event_id IN (1, 2, 3) UNION SELECT dst FROM r JOIN nx ON src = node) SELECT node AS result FROM r")
+on_text("cypher_hops", "MATCH (a)-[:NEXT_EVENT*1..3]->(b) WHERE a.value > 90 RETURN b", f"WITH {NEXT} SELECT DISTINCT c.dst AS result FROM nx a JOIN nx b ON b.src = a.dst JOIN nx c ON c.src = b.dst WHERE a.src IN (SELECT event_id FROM events WHERE value > 90)")
+on_text("cypher_hops_strict", "MATCH (a)-[:NEXT_EVENT*1..2]->(b) WHERE a.value > 90 RETURN b", f"WITH {NEXT} SELECT dst AS result FROM nx WHERE src IN (SELECT event_id FROM events WHERE value > 90) UNION SELECT b.dst FROM nx a JOIN nx b ON b.src = a.dst WHERE a.src IN (SELECT event_id FROM events WHERE value > 90)", strict=True)
+on_text("cypher_limit", "MATCH (c)-[:PLACED]->(o) WHERE c.c_acctbal < 0 RETURN o LIMIT 12", "SELECT o_orderkey AS result FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0 ORDER BY 1 LIMIT 12")
+on_text("datalog_join", "bought(C, P) :- PLACED(C, O), CONTAINS(O, P). ?- bought(1, P).", "SELECT DISTINCT l_partkey AS \"P\" FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 1")
+on_text("datalog_recursion", "r(X, Y) :- NEXT_EVENT(X, Y). r(X, Y) :- r(X, Z), NEXT_EVENT(Z, Y). ?- r(1, Y).", f"WITH RECURSIVE {NEXT}, r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT dst FROM r JOIN nx ON src = node) SELECT node AS \"Y\" FROM r")
+on_text("datalog_mutual", "odd(Y) :- CO_BOUGHT(1, Y). odd(Y) :- even(X), CO_BOUGHT(X, Y). even(Y) :- odd(X), CO_BOUGHT(X, Y). ?- even(Y).", f"WITH RECURSIVE {CO}, r AS (SELECT dst AS node, 1 AS k FROM co WHERE src = 1 UNION SELECT dst, 1 - k FROM r JOIN co ON src = node) SELECT node AS \"Y\" FROM r WHERE k = 0")
+on_text("datalog_negation", "has(C) :- PLACED(C, O). none(C) :- customer(C), !has(C). ?- none(C).", "SELECT c_custkey AS \"C\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+on_text("datalog_reverse", "who(P, C) :- ^CONTAINS(P, O), ^PLACED(O, C), P < C. ?- who(P, C).", "SELECT DISTINCT l_partkey AS \"P\", o_custkey AS \"C\" FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey < o_custkey")
+on_text("script_hop", "x = seeds(customer, 1, 2)\ny = PLACED * x\nz = CONTAINS * y\nreturn z", "SELECT DISTINCT l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (1, 2)", lang="script")
+on_text("script_topk", "x = ones(part)\ny = vxm(CO_BOUGHT, x)\nreturn topk(y, 10)", f"WITH {CO} SELECT dst AS node, CAST(count(*) AS DOUBLE) AS value FROM co GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", lang="script")
+on_text("scheme_two_hops", '(program (bitset:from 1 2) (csr-walk "PLACED") (csr-walk "CONTAINS") (collect-bitset))', "SELECT DISTINCT l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (1, 2)")
+on_text("scheme_set_union", '(program (bitset:from 7) (set:union (csr-walk "CO_BOUGHT") (csc-walk "CO_BOUGHT")) (collect-count))', f"WITH {CO} SELECT count(*) AS result FROM (SELECT dst FROM co WHERE src = 7 UNION SELECT src FROM co WHERE dst = 7)")
+on_text("scheme_fixpoint", '(program (bitset:from 1) (fixpoint "NEXT_EVENT" 1000 (csr-walk "NEXT_EVENT")) (collect-bitset))', f"WITH RECURSIVE {NEXT}, r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT dst FROM r JOIN nx ON src = node) SELECT node FROM r")
+
+# ------------------------------------------------------------------- similarity
+
+_Q = [((i * 37) % 11 - 5) / 5 for i in range(64)]
+
+
+def _query(g) -> list[float]:
+    n = len(g.domain("embeddings").nodes.select("embedding").first()[0])
+    return [_Q[i % 64] for i in range(n)]
+
+
+_QSQL = f"(SELECT list_transform(range(len(embedding)), lambda i: CAST([{', '.join(map(str, _Q))}][1 + i % 64] AS DOUBLE)) FROM embeddings LIMIT 1)"
+_E = "CAST(embedding AS DOUBLE[])"
+_METRICS = {
+    "dot": f"list_inner_product({_E}, {_QSQL})",
+    "cosine": f"list_cosine_similarity({_E}, {_QSQL})",
+    "l2": f"-pow(list_distance({_E}, {_QSQL}), 2)",
+    "hamming": f"-CAST(list_sum(list_transform(list_zip({_E}, {_QSQL}), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1.0 ELSE 0.0 END)) AS DOUBLE)",
+}
+for _m, _sql in _METRICS.items():
+    on_graph(f"vector_top_k_{_m}", f"SELECT vec_id AS node, round({_sql}, 6) AS score FROM embeddings ORDER BY {_sql} DESC, vec_id LIMIT 20")(lambda g, m=_m: V.top_k(g.domain("embeddings").nodes, _query(g), 20, m, "node").select("node", F.round("score", 6).alias("score")))
+
+
+@on_graph("vector_rerank", f"SELECT vec_id AS node, round({_METRICS['dot']}, 6) AS score FROM embeddings WHERE label = 3")
+def vector_rerank(g):
+    c = traverse(g).all("embeddings").filter("label == 3").nodes()
+    return V.rerank(c, g.domain("embeddings").nodes, _query(g), "dot", None, "node").select("node", F.round("score", 6).alias("score"))
+
+
+@on_graph("vector_normalise", "SELECT vec_id AS node, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) / nullif(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 0), 6) AS length FROM embeddings")
+def vector_normalise(g):
+    return g.domain("embeddings").nodes.select("node", F.round(V.similarity(V.normalise(F.col("embedding")), V.normalise(F.col("embedding")), "dot"), 6).alias("length"))
+
+
+# ------------------------------------------------------- statistics and lookups
+
+_DEG = f"d AS (SELECT c_custkey AS node, count(dst) AS degree FROM customer LEFT JOIN ({PLACED}) ON src = c_custkey GROUP BY 1)"
+
+
+@on_graph("relation_statistics", f"""WITH {_DEG}, s AS (SELECT list(degree ORDER BY degree) AS h, count(*) AS n FROM d) SELECT n AS n_sources, (SELECT count(*) FROM orders) AS n_targets, CAST(list_sum(h) AS BIGINT) AS n_edges, len(list_filter(h, lambda x: x > 0)) AS n_with_edge, h[n] AS max_degree,
+    round(list_avg(h), 6) AS avg_degree, round(list_stddev_pop(h), 6) AS stddev_degree, h[1 + CAST(floor(n * 0.5) AS INT)] AS p50, h[1 + CAST(floor(n * 0.9) AS INT)] AS p90, h[1 + CAST(floor(n * 0.99) AS INT)] AS p99, round(len(list_filter(h, lambda x: x > 0)) / n, 6) AS sparsity, '1:M' AS multiplicity FROM s""")
+def relation_statistics(g):
+    r = T.relation_statistics(g.relation("PLACED").edges, g.domain("customer").nodes, g.domain("orders").nodes)
+    return r.select(*(F.round(c, 6).alias(c) if c in ("avg_degree", "stddev_degree", "sparsity") else F.col(c) for c in r.columns))
+
+
+on_graph("supernodes", f"WITH {CO}, d AS (SELECT p_partkey AS node, count(dst) AS degree FROM part LEFT JOIN co ON src = p_partkey GROUP BY 1) SELECT node, degree FROM d WHERE degree >= (SELECT greatest(10, avg(degree) + 3 * stddev_pop(degree)) FROM d)")(lambda g: T.supernodes(g.relation("CO_BOUGHT").edges, g.domain("part").nodes))
+on_graph("attribute_statistics", "SELECT CAST(min(o_orderkey) AS VARCHAR) AS least, CAST(max(o_orderkey) AS VARCHAR) AS largest, count(*) FILTER (o_orderkey IS NULL) AS nulls, count(DISTINCT o_orderkey) AS n_distinct, true AS rises, count(*) < 2 AS falls FROM orders")(lambda g: T.attribute_statistics(g.domain("orders").nodes.withColumn("k", F.col("node")), "k"))
+on_graph("heavy_hitters", "SELECT l_partkey AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda g: T.heavy_hitters(g.relation("CONTAINS").edges, "dst", 10))
+on_graph("approx_distinct")(lambda g: T.approx_distinct(g.relation("CONTAINS").edges, "dst"))
+on_graph("equi_depth_histogram")(lambda g: T.equi_depth_histogram(g.domain("part").nodes, "p_retailprice"))
+on_graph("degree_sketch")(lambda g: T.degree_sketch(g.relation("PLACED").edges, g.domain("customer").nodes))
+on_graph("lookup_range", "SELECT p_partkey AS node, p_retailprice AS value FROM part WHERE p_retailprice BETWEEN 1000 AND 1200")(lambda g: K.value_range(g.domain("part").nodes, "p_retailprice", 1000, 1200))
+on_graph("lookup_trigram", "SELECT p_partkey AS node FROM part WHERE contains(p_type, 'BRA') AND contains(p_type, 'RAS') AND contains(p_type, 'ASS')")(lambda g: K.trigram_candidates(g.domain("part").nodes, "p_type", "BRASS"))
+on_graph("lookup_stabbing", "SELECT p_partkey AS node FROM part WHERE p_size <= 30 AND p_size + 5 >= 30")(lambda g: K.stabbing(g.domain("part").nodes.withColumn("d", F.lit(5)), "p_size", "d", 30))
+on_graph("lookup_domain_part", "SELECT c_custkey AS node FROM customer WHERE c_nationkey = 4")(lambda g: K.domain_part(g.domain("customer").nodes.withColumn("mail", F.concat(F.col("c_name"), F.lit("@n"), F.col("c_nationkey").cast("string"))), "mail", "n4"))
+on_graph("keys_of_nodes", "SELECT c_custkey AS node, c_name AS key FROM customer WHERE c_acctbal > 9000")(lambda g: K.nodes_to_keys(traverse(g).all("customer").filter("c_acctbal > 9000").nodes(), g.domain("customer").nodes, "c_name"))
+
+# ------------------------------------------------------------ deltas, generators
+
+
+@on_graph("delta_merge", "SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_totalprice <= 150000 UNION SELECT o_custkey, -o_orderkey FROM orders WHERE o_totalprice > 200000")
+def delta_merge(g):
+    e = g.relation("PLACED").edges
+    adds = e.where("o_totalprice > 200000").select("src", (-F.col("dst")).alias("dst"))
+    return deltas.apply(e.select("src", "dst"), adds, e.where("o_totalprice > 150000"))
+
+
+@on_graph("snapshot_diff", "SELECT 'removed' AS change, o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_totalprice <= 100000")
+def snapshot_diff(g):
+    e = g.relation("PLACED").edges
+    return deltas.edge_diff(e.select("src", "dst"), e.where("o_totalprice > 100000").select("src", "dst"))
+
+
+@on_graph("validate_references", "SELECT 'SUPPLIED_BY' AS relation, 'src' AS side, count(*) AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'SUPPLIED_BY', 'dst', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
+def validate_references(g):
+    return deltas.dangling(g, ["SUPPLIED_BY"])
+
+
+on_graph("generate_grid", "SELECT CAST(i AS BIGINT) AS src, CAST(i + 1 AS BIGINT) AS dst FROM range(100) t(i) WHERE i % 10 < 9 UNION ALL SELECT i, i + 10 FROM range(90) t(i)")(lambda g: generators.grid(g.spark, 10, 10))
+on_graph("generate_tree", "SELECT CAST((i - 1) // 3 AS BIGINT) AS src, CAST(i AS BIGINT) AS dst FROM range(1, 200) t(i)")(lambda g: generators.tree(g.spark, 200, 3))
+for _name, _make in (("graph500", lambda s: generators.graph500(s, 10, 8)), ("erdos_renyi", lambda s: generators.erdos_renyi(s, 500, 2000)), ("stochastic_block", lambda s: generators.stochastic_block(s, [100, 100], 0.05, 0.005)), ("barabasi_albert", lambda s: generators.barabasi_albert(s, 500, 3)), ("bipartite", lambda s: generators.bipartite(s, 100, 200, 1000))):
+    on_graph(f"generate_{_name}")(lambda g, make=_make: make(g.spark))
+
+
+@on_graph("cel_lane_functions", f"WITH {_LANE}, m AS (SELECT node, bit_or(CAST(1 AS BIGINT) << lane) AS mask FROM ln GROUP BY 1) SELECT node FROM m WHERE (mask & 5) <> 0 AND (mask & 8) = 0")
+def cel_lane_functions(g):
+    return _bought(g).filter("has_any(lane, 5) && has_none(lane, 8)").lanes.select("node").distinct()
