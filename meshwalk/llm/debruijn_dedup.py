@@ -16,9 +16,10 @@ is repeated if its source coordinates aren't the first of its class. Identity is
 that of two independent 64-bit hashes, anchor and path (or window).
 
 No key's rows are collected: counts and minima combine before each shuffle, and
-the joins on hot classes are ones that adaptive execution splits. Small result
-tables (under ``BROADCAST_ROWS``) are sent to the texts; beyond that the texts are
-joined by a shuffle.
+the joins on hot classes are ones that adaptive execution splits. What is sought in
+or removed from a document is a list of longs; such a table is sent to the texts
+while it is within ``BROADCAST_BYTES``, which is counted first, and beyond that the
+texts are joined by a shuffle.
 
 Defined results: null or empty texts have no words; a text of under 20 words loses
 none; rows with equal doc_id are read as one document, so that a window there
@@ -42,7 +43,7 @@ WINDOW, ANCHOR = 20, 6
 SPAN = WINDOW - ANCHOR + 1  # windows that can hold one occurrence of an anchor
 BASE = 0x9E3779B97F4A7C15
 INDEX_BITS = 28
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 NO_ID = -(1 << 63)
 
 _powers: dict[str, np.ndarray] = {}
@@ -125,26 +126,28 @@ def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, text, list of (anchor, path, s, n) -> a row for each window of those paths."""
+    """d, text, starts of paths -> a row for each window of those paths."""
     for b in batches:
         parts = []
         for d, text, want in zip(b.column(0).to_pylist(), _texts(b.column(1)), b.column(2).to_pylist(), strict=True):
             words = words_of(text)
-            want = [w for w in want if w["s"] + w["n"] + WINDOW - 1 <= len(words)]
-            if not want:
+            if len(words) < WINDOW:
                 continue
             p = Paths(words)
-            n = np.array([w["n"] for w in want])
-            bit = np.concatenate([np.arange(k) for k in n])
-            s = np.repeat([w["s"] for w in want], n)
-            wide = lambda k: np.repeat(np.array([w[k] for w in want], np.int64), n)  # noqa: B023,E731
-            parts.append((wide("anchor"), wide("path"), np.full(len(s), d, np.int64), s + bit, bit, mix(p.hashes(s + bit, WINDOW))))
+            k = np.flatnonzero(np.isin(p.start, want))
+            n = p.windows[k]
+            if not len(k):
+                continue
+            bit = np.concatenate([np.arange(x) for x in n])
+            at = np.repeat(p.start[k], n) + bit
+            parts.append((np.repeat(p.anchor[k], n), np.repeat(p.path[k], n), np.full(len(at), d, np.int64), at, bit, mix(p.hashes(at, WINDOW))))
         if parts:
             yield pa.RecordBatch.from_arrays([*(_long(np.concatenate(c)) for c in zip(*parts, strict=True))], names=["anchor", "path", "d", "at", "bit", "h"])
 
 
-def kept_words(words: list[bytes], marks: list[dict] | None) -> list[bytes]:
-    """The words outside repeated windows. marks: s and mask (windows from s on) of the paths found elsewhere."""
+def kept_words(words: list[bytes], marks: list[int] | None) -> list[bytes]:
+    """The words outside repeated windows. marks: of the paths found elsewhere, the start s and, in the
+    low SPAN bits, which of the windows from s on are repeated."""
     if len(words) < WINDOW:
         return words
     p = Paths(words)
@@ -153,7 +156,7 @@ def kept_words(words: list[bytes], marks: list[dict] | None) -> list[bytes]:
     np.add.at(step, p.start[again], 1)
     np.add.at(step, p.start[again] + p.windows[again] + WINDOW - 1, -1)
     if marks:
-        s, mask = np.array([m["s"] for m in marks]), np.array([m["mask"] for m in marks])
+        s, mask = np.array(marks) >> SPAN, np.array(marks) & ((1 << SPAN) - 1)
         row, bit = np.nonzero(mask[:, None] >> np.arange(SPAN) & 1)
         at = s[row] + bit
         at = at[at + WINDOW <= len(words)]
@@ -176,9 +179,10 @@ def _emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept"])
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if it has few rows; counting stops at the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _checked(df: DataFrame, values: str) -> DataFrame:
+    """With a broadcast hint if the rows and their lists of longs are within the bound."""
+    size = df.agg(F.sum(48 + 8 * F.size(values))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -191,8 +195,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     classes = cut(found.groupBy("anchor", "path").agg(F.min(F.struct("d", "s")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")))
     branching = classes.groupBy("anchor").count().where("count > 1").select("anchor")
     border = classes.join(branching, "anchor", "left_semi").select("anchor", "path", "first.d", "first.s", "n")
-    want = cut(border.groupBy("d").agg(F.collect_list(F.struct("anchor", "path", "s", "n")).alias("want")))
-    single = cut(texts.join(_checked(want), "d").select("d", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, at long, bit long, h long"))
+    want = cut(border.groupBy("d").agg(F.collect_list("s").alias("want")))
+    single = cut(texts.join(_checked(want, "want"), "d").select("d", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, at long, bit long, h long"))
     first = single.groupBy("anchor", "h").agg(F.min(F.struct("d", "at")).alias("one"))
     own = F.struct("d", "at")
     masks = single.join(first, ["anchor", "h"]).where(F.col("one") < own).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"))
@@ -206,10 +210,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """Per row: doc (carried columns), n_words, n_removed and kept, the words left, joined by blanks."""
     carry = docs.columns if carry is None else carry
-    marks = repeats(docs, id_col).groupBy("d").agg(F.collect_list(F.struct("s", "mask")).alias("marks"))
+    marks = repeats(docs, id_col).groupBy("d").agg(F.collect_list(F.expr(f"shiftleft(s, {SPAN}) | mask")).alias("marks"))
     marks = cut(marks)
     rows = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("t"))
-    joined = rows.join(_checked(marks), "d", "left").select("doc", "t", "marks")
+    joined = rows.join(_checked(marks, "marks"), "d", "left").select("doc", "t", "marks")
     schema = joined.select("doc").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return joined.mapInArrow(_emit_kept, schema)
 
