@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshwalk.plans.durable import cut, shared_dir
 
-__all__ = ["alnum_words_of", "ascii_lower", "cut", "let", "shared_dir", "ship", "small_batches", "table", "text_of", "words_of"]
+__all__ = ["alnum_words_of", "ascii_lower", "checked", "cut", "let", "shared_dir", "ship", "small_batches", "table", "text_of", "words_of"]
 
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -60,3 +60,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 def ship(module: str) -> None:
     """Send the functions of a module with each task, as executors may not have the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+#: What may be broadcast, counted before it is.
+BROADCAST_BYTES = 64 << 20
+
+
+def checked(df: DataFrame, values: str, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if the rows and their lists ``values`` of longs are within the bound."""
+    size = df.agg(F.sum(48 + 8 * F.size(values))).first()[0] or 0
+    return F.broadcast(df) if size <= bound else df

@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_pool:
         ids = ids.where(~held_out(F.col("lid")))
     pool = ids.distinct().orderBy(F.xxhash64("lid", F.lit(1)), "lid").limit(max_pool).withColumn("y", F.lit(-1))
     wanted = lean.unionByName(pool)
-    rows = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["lid"]).select("y", *_inputs(docs))
+    rows = docs.select(F.col("doc_id").alias("lid"), *_inputs(docs)).join(F.broadcast(wanted), "lid").select("y", *COLUMNS)
     got = sorted((tuple(r["a"]), tuple(r["b"]), r["y"]) for r in rows.mapInArrow(_emit_views, "y int, a array<double>, b array<double>").collect())
     part = lambda keep: [np.array([r[i] for r in got if keep(r[2])]) for i in (0, 1)]
     y = np.array([r[2] for r in got if r[2] >= 0], float)

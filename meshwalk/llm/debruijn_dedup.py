@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, small_batches
+from .common import checked, cut, ship, small_batches
 
 ship(__name__)
 
@@ -179,12 +179,6 @@ def _emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept"])
 
 
-def _checked(df: DataFrame, values: str) -> DataFrame:
-    """With a broadcast hint if the rows and their lists of longs are within the bound."""
-    size = df.agg(F.sum(48 + 8 * F.size(values))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Repeated paths: d, s, mask (windows from word s on that occurred before), source_d, source_s (of the whole path's class)."""
     small_batches(docs.sparkSession)
@@ -196,7 +190,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     branching = classes.groupBy("anchor").count().where("count > 1").select("anchor")
     border = classes.join(branching, "anchor", "left_semi").select("anchor", "path", "first.d", "first.s", "n")
     want = cut(border.groupBy("d").agg(F.collect_list("s").alias("want")))
-    single = cut(texts.join(_checked(want, "want"), "d").select("d", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, at long, bit long, h long"))
+    single = cut(texts.join(checked(want, "want", BROADCAST_BYTES), "d").select("d", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, at long, bit long, h long"))
     first = single.groupBy("anchor", "h").agg(F.min(F.struct("d", "at")).alias("one"))
     own = F.struct("d", "at")
     masks = single.join(first, ["anchor", "h"]).where(F.col("one") < own).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"))
@@ -213,7 +207,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str
     marks = repeats(docs, id_col).groupBy("d").agg(F.collect_list(F.expr(f"shiftleft(s, {SPAN}) | mask")).alias("marks"))
     marks = cut(marks)
     rows = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("t"))
-    joined = rows.join(_checked(marks, "marks"), "d", "left").select("doc", "t", "marks")
+    joined = rows.join(checked(marks, "marks", BROADCAST_BYTES), "d", "left").select("doc", "t", "marks")
     schema = joined.select("doc").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return joined.mapInArrow(_emit_kept, schema)
 

@@ -16,8 +16,8 @@ copies are for the near-duplicate stages and mustn't be emptied here. Equal text
 count once.
 
 Texts are read twice or three times; hashes of lines are shuffled, not texts. The
-lists of lines to drop are sent to the texts while they are few
-(``BROADCAST_ROWS``), else joined by a shuffle.
+lists of lines to drop are sent to the texts while they are within a bound in
+bytes, which is counted first, else joined by a shuffle.
 
 Defined results: null and empty texts have no lines with words and stay as they
 are (null becomes empty); lines without words are kept; equal texts lose the same
@@ -29,12 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, text_of, words_of
+from .common import checked, cut, let, text_of, words_of
 
 LEAD, MIN_DOCS, VARIED, SAME, STEADY = 4, 8, 0.5, 0.6, 0.9
 MIN_WORDS, MAX_WORDS, MOST = 3, 40, 0.5
 FIELD = "<*>"
-BROADCAST_ROWS = 200_000
 
 
 def masked(line: Column) -> Column:
@@ -79,7 +78,7 @@ def generalised(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
         return met.select("th", "pos")
     wanted = met.groupBy("th").agg(F.collect_list(F.struct("pos", "leaf")).alias("want"))
     texts = docs.select(text_of().alias("t")).withColumn("th", F.xxhash64("t"))
-    chosen = texts.join(checked(cut(wanted)), "th").select("th", let(F.split("t", "\n"), lambda x: F.transform("want", lambda w: F.struct(w["pos"].alias("pos"), w["leaf"].alias("leaf"), masked(F.get(x, w["pos"])).alias("words")))).alias("l"))
+    chosen = texts.join(checked(cut(wanted), "want"), "th").select("th", let(F.split("t", "\n"), lambda x: F.transform("want", lambda w: F.struct(w["pos"].alias("pos"), w["leaf"].alias("leaf"), masked(F.get(x, w["pos"])).alias("words")))).alias("l"))
     words = cut(chosen.select("th", F.inline("l")).groupBy("th", "pos", "leaf").agg(F.first("words").alias("words")))
     places = words.select("leaf", F.posexplode("words").alias("i", "word")).groupBy("leaf", "i", "word").count()
     steady = places.groupBy("leaf", "i").agg(F.max_by("word", F.struct("count", "word")).alias("word"), F.max("count").alias("top"), F.sum("count").alias("n")).where(F.col("top") >= STEADY * F.col("n"))
@@ -88,10 +87,6 @@ def generalised(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     return fits.select("th", "pos")
 
 
-def checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the recurring lines gone from ``text``, and n_lines and n_dropped in the struct ``lines_info``."""
     lines = cut(line_table(docs))
@@ -99,7 +94,7 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     drops = equal.unionByName(generalised(docs, lines, min_docs)).groupBy("th").agg(F.collect_set("pos").alias("drop"))
     drops = cut(drops)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), text_of().alias("t")).withColumn("th", F.xxhash64("t"))
-    met = rows.join(checked(drops), "th", "left")
+    met = rows.join(checked(drops, "drop"), "th", "left")
     left = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("t")).otherwise(left)
     info = F.struct(F.size(F.split("t", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))

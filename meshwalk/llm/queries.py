@@ -17,6 +17,7 @@ from . import secret_scan as ss
 from . import simhash_tiles as sh
 from . import toxic_fm as tf
 from .common import table
+from .oracles import all_sql
 
 
 def tokenizer_file() -> str:
@@ -75,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_decontaminate, op7_simhash_tiles, op8_harmonic_packing, op9_log_templates, op10_license_join,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = all_sql()

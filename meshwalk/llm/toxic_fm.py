@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine
     small_batches(docs.sparkSession)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("lid"), "lid", "y").limit(max_fit)
-    met = docs.join(F.broadcast(sample), docs["doc_id"] == sample["lid"]).select(docs["text"].cast("string"), "y")
+    texts = docs.select(F.col("doc_id").alias("lid"), F.col("text").cast("string").alias("text"))
+    met = texts.join(F.broadcast(sample), "lid").select("text", "y")
     got = met.mapInArrow(_emit_cells, "cells binary, y int").collect()
     got.sort(key=lambda r: (bytes(r["cells"]), r["y"]))  # whatever the order of tasks
     return fit([np.frombuffer(r["cells"], np.int32) for r in got], np.array([r["y"] for r in got], np.float64))
