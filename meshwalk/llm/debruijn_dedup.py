@@ -180,7 +180,7 @@ def _emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Repeated paths: d, s, mask (windows from word s on that occurred before), source_d, source_s (of the whole path's class)."""
+    """Repeated paths: d, s, mask (windows from word s on that occurred before), source_d, source_s (where its first repeated window stands first)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("t"))
     paths = texts.mapInArrow(_emit_paths, "anchor long, path long, d long, s long, n long")
@@ -193,12 +193,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     single = cut(texts.join(checked(want, "want", BROADCAST_BYTES), "d").select("d", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, at long, bit long, h long"))
     first = single.groupBy("anchor", "h").agg(F.min(F.struct("d", "at")).alias("one"))
     own = F.struct("d", "at")
-    masks = single.join(first, ["anchor", "h"]).where(F.col("one") < own).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"))
+    masks = single.join(first, ["anchor", "h"]).where(F.col("one") < own).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"), F.min_by("one", "bit").alias("origin"))
     full = F.expr("shiftleft(1L, CAST(n AS INT)) - 1")
     known = cut(classes.select("anchor", "path", "first", "times").join(masks, ["anchor", "path"], "left").where("times > 1 OR part IS NOT NULL"))
     met = found.join(known, ["anchor", "path"])
-    mask = F.when(F.col("first") == F.struct("d", "s"), F.coalesce("part", F.lit(0))).otherwise(full)
-    return met.select("d", "s", mask.alias("mask"), F.col("first.d").alias("source_d"), F.col("first.s").alias("source_s")).where("mask <> 0")
+    own_class = F.col("first") == F.struct("d", "s")
+    source = F.when(own_class, F.struct(F.col("origin.d").alias("d"), F.col("origin.at").alias("s"))).otherwise(F.col("first"))
+    mask = F.when(own_class, F.coalesce("part", F.lit(0))).otherwise(full)
+    return met.select("d", "s", mask.alias("mask"), source["d"].alias("source_d"), source["s"].alias("source_s")).where("mask <> 0")
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
