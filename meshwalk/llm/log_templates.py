@@ -8,8 +8,9 @@ at some places is one template with those places generalised, if at least
 ``SAME`` of its places are constant.
 
 A template recurs if it stands in ``MIN_DOCS`` texts or more and in different
-surroundings: the pairs of lines before and after it are different in half of
-them or more. Templates are of log-like lines, ``MIN_WORDS`` to ``MAX_WORDS``
+surroundings: the lines before it, and also the lines after it, are different in
+half of them or more; an end of a text differs from all else. Lines inside copied
+passages stand between the same lines and so don't recur. Templates are of log-like lines, ``MIN_WORDS`` to ``MAX_WORDS``
 words. A text with over ``MOST`` of its words in such lines is a near copy of
 others, not a text with boilerplate in it: it neither counts nor loses lines, as
 copies are for the near-duplicate stages and mustn't be emptied here. Equal texts
@@ -46,20 +47,20 @@ def leaf_of(words: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """th (hash of the text), total (its words), pos, n, leaf, template, around of every line with words enough."""
+    """th (hash of the text), total (its words), pos, n, leaf, template, before, after of every line with words enough."""
     lines = F.transform(F.split(F.col("t"), "\n"), lambda x, i: let(masked(x), lambda w: F.struct(i.alias("pos"), F.size(w).alias("n"), leaf_of(w).alias("leaf"), F.xxhash64(w).alias("template"))))
     some = F.filter(lines, lambda x: x["n"] > 0)
     total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    near = lambda x, i: F.coalesce(F.get(x, i)["template"], F.lit(0))
-    each = let(some, lambda s: let(total(s), lambda k: F.transform(s, lambda x, i: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), x["leaf"].alias("leaf"), x["template"].alias("template"), F.xxhash64(near(s, i - 1), near(s, i + 1)).alias("around"), k.alias("total")))))
+    near = lambda x, i: F.coalesce(F.get(x, i)["template"], F.xxhash64("t"))
+    each = let(some, lambda s: let(total(s), lambda k: F.transform(s, lambda x, i: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), x["leaf"].alias("leaf"), x["template"].alias("template"), near(s, i - 1).alias("before"), near(s, i + 1).alias("after"), k.alias("total")))))
     rows = docs.select(text_of().alias("t")).select(F.xxhash64("t").alias("th"), F.inline(each))
     return rows.where(F.col("n").between(MIN_WORDS, MAX_WORDS))
 
 
 def recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     """Keys that stand in enough texts and surroundings."""
-    found = lines.groupBy(key).agg(F.count_distinct("th").alias("docs"), F.count_distinct("around").alias("around"))
-    return found.where((F.col("docs") >= min_docs) & (F.col("around") >= VARIED * F.col("docs"))).select(key)
+    found = lines.groupBy(key).agg(F.count_distinct("th").alias("docs"), F.count_distinct("before").alias("before"), F.count_distinct("after").alias("after"))
+    return found.where((F.col("docs") >= min_docs) & (F.least("before", "after") >= VARIED * F.col("docs"))).select(key)
 
 
 def settled(lines: DataFrame, key: str, min_docs: int) -> DataFrame:

@@ -103,7 +103,7 @@ def templates() -> str:
     words = f"list_filter(string_split_regex(regexp_replace(line, '{mask}', '{lt.FIELD}', 'g'), '{SPACE}'), lambda x: x <> '')"
 
     def settled(name: str, source: str, key: str) -> list[str]:
-        rec = lambda n, of: f"{n} AS MATERIALIZED (SELECT {key} FROM {of} GROUP BY 1 HAVING count(DISTINCT t) >= {lt.MIN_DOCS} AND count(DISTINCT around) >= {lt.VARIED} * count(DISTINCT t))"
+        rec = lambda n, of: f"{n} AS MATERIALIZED (SELECT {key} FROM {of} GROUP BY 1 HAVING count(DISTINCT t) >= {lt.MIN_DOCS} AND least(count(DISTINCT before), count(DISTINCT after)) >= {lt.VARIED} * count(DISTINCT t))"
         return [
             rec(f"{name}r", source),
             f"{name}f AS MATERIALIZED (SELECT * FROM {source} WHERE {key} IN (SELECT {key} FROM {name}r))",
@@ -117,7 +117,7 @@ def templates() -> str:
         "u AS (SELECT DISTINCT t FROM d)",
         f"a AS MATERIALIZED (SELECT t, pos, {words} AS w FROM (SELECT t, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM u))",
         "b AS MATERIALIZED (SELECT t, pos, w, len(w) AS n, array_to_string(w, ' ') AS template, concat(len(w), ' ', array_to_string(w[1:4], ' ')) AS leaf FROM a WHERE len(w) > 0)",
-        "c AS MATERIALIZED (SELECT *, concat(coalesce(lag(template) OVER x, ''), chr(10), coalesce(lead(template) OVER x, '')) AS around, sum(n) OVER (PARTITION BY t) AS total FROM b WINDOW x AS (PARTITION BY t ORDER BY pos))",
+        "c AS MATERIALIZED (SELECT *, coalesce(lag(template) OVER x, concat(chr(10), t)) AS before, coalesce(lead(template) OVER x, concat(chr(10), t)) AS after, sum(n) OVER (PARTITION BY t) AS total FROM b WINDOW x AS (PARTITION BY t ORDER BY pos))",
         f"lines AS MATERIALIZED (SELECT * FROM c WHERE n BETWEEN {lt.MIN_WORDS} AND {lt.MAX_WORDS})",
         *settled("eq", "lines", "template"),
         "various AS MATERIALIZED (SELECT * FROM lines WHERE leaf IN (SELECT leaf FROM lines GROUP BY 1 HAVING min(template) <> max(template)))",
