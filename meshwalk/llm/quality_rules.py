@@ -141,7 +141,8 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, min_rows: int
     params = cut(medians.selectExpr("g", *(f"m{i}" for i in P), *(f"CAST(0 AS DOUBLE) AS s{i}{j}" for i, j in PAIRS)))
     for _ in range(steps):
         d = z.join(params.selectExpr("g", *(f"m{i}" for i in P), *(f"s{i}{j}" for i, j in PAIRS), *cholesky()), "g").selectExpr("g", *(f"z{i}" for i in P), *distance())
-        bound = grid_quantile(d.selectExpr("g", dist_bin()), ["g"], COVERAGE, "top")
+        # A table of known size, so that where groups are few the rows aren't shuffled for the join.
+        bound = cut(grid_quantile(d.selectExpr("g", dist_bin()), ["g"], COVERAGE, "top"))
         inside = d.selectExpr("*", dist_bin()).join(bound, "g").where("bin <= top")
         params = cut(inside.groupBy("g").agg(*map(F.expr, moments()), F.count("*").alias("h")))
     # Distances are scaled so that the median one is that of a normal distribution.
