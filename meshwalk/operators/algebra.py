@@ -174,3 +174,20 @@ def scatter_reduce(old: DataFrame, new: DataFrame, how: str = "SUM") -> DataFram
 def edge_weight(edges: DataFrame, u, v, weight: str) -> DataFrame:
     """The weight of edge (u, v), of the first in attribute order where it is parallel."""
     return edges.where((F.col("src") == u) & (F.col("dst") == v)).agg(F.min(weight).alias("weight"))
+
+
+def adjacent(edges: DataFrame, u, v) -> bool:
+    """Whether the edge (u, v) exists."""
+    return not edges.where((F.col("src") == u) & (F.col("dst") == v)).isEmpty()
+
+
+def scatter_gather(edges: DataFrame, features: DataFrame, how: str = "avg") -> DataFrame:
+    """(node, value): element by element, the sum, mean or maximum of the in-neighbours' feature arrays.
+
+    ``features`` is (node, value array). Sums combine before the shuffle.
+    """
+    agg = {"sum": F.sum, "avg": F.avg, "max": F.max}[how]
+    each = edges.select("src", "dst").join(features.select(F.col("node").alias("src"), F.posexplode("value").alias("i", "x")), "src")
+    by = each.groupBy(F.col("dst").alias("node"), "i").agg(agg(F.col("x").cast("double")).alias("x"))
+    rows = by.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return rows.select("node", F.transform("v", lambda p: p["x"]).alias("value"))

@@ -54,5 +54,10 @@ class Engine:
             raise ValueError(f"unknown language {lang}")
         return runs[lang](text, self.catalog, params, **options)
 
+    def set_parallelism(self, partitions: int) -> Engine:
+        """Partitions of the shuffles that follow."""
+        self.catalog.spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        return self
+
     def traverse(self) -> Traversal:
         return traverse(self.catalog)

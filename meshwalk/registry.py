@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwalk.functions import math_catalog as M
+from meshwalk.operators import access
 from meshwalk.operators import algebra as A
 from meshwalk.operators import algorithms as G
 from meshwalk.operators import lookups as K
@@ -580,3 +581,18 @@ for _name, _make in (("graph500", lambda s: generators.graph500(s, 10, 8)), ("er
 @on_graph("cel_lane_functions", f"WITH {_LANE}, m AS (SELECT node, bit_or(CAST(1 AS BIGINT) << lane) AS mask FROM ln GROUP BY 1) SELECT node FROM m WHERE (mask & 5) <> 0 AND (mask & 8) = 0")
 def cel_lane_functions(g):
     return _bought(g).filter("has_any(lane, 5) && has_none(lane, 8)").lanes.select("node").distinct()
+
+
+@on_graph("rebac_permitted", "SELECT DISTINCT c_custkey AS \"user\", s_suppkey AS resource FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal >= 0")
+def rebac_permitted(g):
+    """Customers may see the suppliers of their nation, but none in debt."""
+    grants = g.relation("SUPP_IN").edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    debt = g.domain("supplier").nodes.where("s_acctbal < 0").select(F.col("node").alias("dst"))
+    return access.permitted(g.domain("customer").nodes.select("node"), g.relation("CUST_IN").edges, None, grants, grants.join(debt, "dst", "left_semi"))
+
+
+@on_graph("scatter_gather", "SELECT l_partkey AS node, round(avg(o_totalprice), 4) AS mean_price, round(avg(CAST(year(o_orderdate) AS DOUBLE)), 6) AS mean_year FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def scatter_gather(g):
+    f = g.domain("orders").nodes.select("node", F.array("o_totalprice", F.year("o_orderdate").cast("double")).alias("value"))
+    r = A.scatter_gather(g.relation("CONTAINS").edges, f)
+    return r.select("node", F.round(F.col("value")[0], 4).alias("mean_price"), F.round(F.col("value")[1], 6).alias("mean_year"))

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshwalk.operators import access
+from meshwalk.operators import algebra as A
 from meshwalk.operators.lanes import MultiLane
 from meshwalk.plans import cypher, datalog
 from meshwalk.plans import logical as L
@@ -166,6 +168,17 @@ def test_scripts_and_programs(g):
     assert ids(e.prepare("MATCH (g:group) WHERE g.id = $x RETURN g").bind("x", 3).execute(), "result") == [3]
 
 
+def test_access(spark, g):
+    users = spark.createDataFrame([(7,), (1,), (2,)], "node long")
+    grants = spark.createDataFrame([(0, 100), (4, 104), (2, 102)], "src long, dst long")
+    args = (g.relation("IN_GROUP").edges, g.relation("INCLUDES").edges, grants)
+    assert {tuple(r) for r in access.permitted(users, *args).collect()} == {(7, 100), (7, 104), (7, 102), (1, 100), (2, 102)}
+    denied = spark.createDataFrame([(3, 100)], "src long, dst long")
+    assert {tuple(r) for r in access.permitted(users, *args, denied).collect()} == {(7, 104), (7, 102), (1, 100), (2, 102)}
+    assert ids(access.check(users, 102, *args)) == [2, 7]
+    assert A.adjacent(args[1], 7, 3) and not A.adjacent(args[1], 3, 7)
+
+
 def test_deltas(spark, g):
     base = g.relation("INCLUDES").edges
     adds, gone = spark.createDataFrame([(0, 5)], "src long, dst long"), spark.createDataFrame([(7, 3)], "src long, dst long")
