@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwalk.plans.durable import cut
+from meshwalk.plans.durable import cut, discard
 
 from .components import connected_components
 
@@ -43,11 +43,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     for _ in range(max_iter):
         sent = shares.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         new = cut(nodes.join(sent, "node", "left").select("node", (F.coalesce("_in", F.lit(0.0)) * damping + (1 - damping) / n).alias("rank")))
+        old, rank = rank, new
         if epsilon is not None:
-            delta = new.join(rank.withColumnRenamed("rank", "_old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+            delta = new.join(old.withColumnRenamed("rank", "_old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
             if delta < epsilon:
                 return new
-        rank = new
+        discard(old)
     return rank
 
 
@@ -77,7 +78,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, weight: str = "weight", m
         changed = cut(offers.join(best, "node", "left").where(F.col("distance").isNull() | (F.col("_offer") < F.col("distance"))).select("node", F.col("_offer").alias("distance")))
         if changed.isEmpty():
             return best
-        best = cut(best.unionByName(changed).groupBy("node").agg(F.min("distance").alias("distance")))
+        best = cut(best.unionByName(changed).groupBy("node").agg(F.min("distance").alias("distance")), [best])
     raise RuntimeError(f"distances did not settle in {max_iter} rounds")
 
 
@@ -128,6 +129,7 @@ def core_numbers(edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
         new = counts.withColumn("_n", F.sum("_k").over(upto)).groupBy(F.col("src").alias("node")).agg(F.max(F.least("_n", "_v")).alias("core"))
         new = cut(new)
         moved = new.join(core.withColumnRenamed("core", "_old"), "node").where("core <> _old").isEmpty()
+        discard(core)
         core = new
         if moved:
             return core
@@ -177,7 +179,7 @@ def katz(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.01,
     score = nodes.withColumn("score", F.lit(0.0))
     for _ in range(max_iter):
         got = links.join(score.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("_k")).alias("_in"))
-        score = cut(nodes.join(got, "node", "left").select("node", (F.coalesce("_in", F.lit(0.0)) * alpha + beta).alias("score")))
+        score = cut(nodes.join(got, "node", "left").select("node", (F.coalesce("_in", F.lit(0.0)) * alpha + beta).alias("score")), [score])
     return score
 
 

@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     seen = mark(e)
     for _ in range(max_iter):
-        e = cut(_small_star(_large_star(e).distinct()).distinct())
+        e = cut(_small_star(_large_star(e).distinct()).distinct(), [e])
         now = mark(e)
         if now == seen:
             break

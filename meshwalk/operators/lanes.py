@@ -33,10 +33,10 @@ def lane_closure(lanes: DataFrame, edges: DataFrame, direction: str = "out", max
     seen = cut(lanes.select("lane", "node").distinct())
     new = seen
     for _ in range(max_hops):
-        new = cut(lane_hop(new, edges, direction, tripped).join(seen, ["lane", "node"], "left_anti"))
+        new = cut(lane_hop(new, edges, direction, tripped).join(seen, ["lane", "node"], "left_anti"), [new] if new is not seen else ())
         if new.isEmpty():
             break
-        seen = cut(seen.unionByName(new))
+        seen = cut(seen.unionByName(new), [seen])
     return seen
 
 

@@ -43,13 +43,13 @@ def doubled(reached: DataFrame, edges: DataFrame, direction: str = "out") -> Dat
     size = seen.count()
     while True:
         far_on = seen.join(jump, F.col("node") == F.col("_near")).select(*rest, F.col("_far").alias("node"))
-        seen = cut(seen.select(*rest, "node").unionByName(far_on).distinct())
+        seen = cut(seen.select(*rest, "node").unionByName(far_on).distinct(), [seen])
         now = seen.count()
         if now == size:
             return seen.select(*reached.columns)
         size = now
         again = jump.select(F.col("_near").alias("_mid"), F.col("_far").alias("_end"))
-        jump = cut(jump.join(again, F.col("_far") == F.col("_mid")).select("_near", F.col("_end").alias("_far")))
+        jump = cut(jump.join(again, F.col("_far") == F.col("_mid")).select("_near", F.col("_end").alias("_far")), [jump])
 
 
 def closure(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_hops: int = 1024, include_seeds: bool = True, functional: bool = False) -> DataFrame:
@@ -62,10 +62,10 @@ def closure(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_hops
     seen = cut(seeds.select("node").distinct()) if include_seeds else cut(hop(seeds.select("node").distinct(), edges, direction))
     new = seen
     for _ in range(max_hops if include_seeds else max_hops - 1):
-        new = cut(hop(new, edges, direction).join(seen, "node", "left_anti"))
+        new = cut(hop(new, edges, direction).join(seen, "node", "left_anti"), [new] if new is not seen else ())
         if new.isEmpty():
             break
-        seen = cut(seen.unionByName(new))
+        seen = cut(seen.unionByName(new), [seen])
     return seen
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that lineage ends there."""
+def cut(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that lineage ends there.
+
+    ``instead_of`` are earlier cuts that nothing needs once this one is written, such
+    as a loop's last round; their files go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    for old in instead_of:
+        discard(old)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a cut. Other frames are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
