@@ -48,8 +48,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, that of the smallest doc_id."""
-    found = sh.near_duplicates(docs).where("rid = keeper")
-    return found.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+    return sh.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,8 @@ PAIRS = [(i, j) for i in P for j in range(1, i + 1)]
 CHI2_4_MEDIAN, CHI2_4_CUTOFF = 3.3566939800, 28.4732600000  # quantiles 0.5 and 0.99999
 COVERAGE, STEPS, MIN_ROWS = 0.75, 3, 60
 GRID_Z, GRID_D = 256.0, 32.0
+#: Groups whose estimates are broadcast, at some 250 bytes each.
+BROADCAST_GROUPS = 100_000
 
 
 def repeat_words(words: Column) -> Column:
@@ -149,7 +151,9 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, min_rows: int
     factors = params.selectExpr("g", "h", *(f"m{i}" for i in P), *(f"s{i}{j}" for i, j in PAIRS), *cholesky())
     mid = grid_quantile(z.join(factors, "g").selectExpr("g", *distance()).selectExpr("g", dist_bin()), ["g"], 0.5, "mid")
     scaled = cut(factors.join(mid, "g").withColumn("scale", F.expr(f"greatest(exp((mid + 1) / {GRID_D}) / {CHI2_4_MEDIAN}, 1.0D)")))
-    used = keys.join(scaled, "g").where(f"g <> 'all' OR h >= {COVERAGE} * {min_rows}")
+    used = cut(keys.join(scaled, "g").where(f"g <> 'all' OR h >= {COVERAGE} * {min_rows}"))
+    if used.count() <= BROADCAST_GROUPS:  # else rows are dealt by group, and adaptive execution splits hot ones
+        used = F.broadcast(used)
     out = stats.alias("d").join(used.alias("u"), F.expr("d.lang <=> u.lang AND d.source <=> u.source AND NOT d.base_failed"), "left")
     out = out.select("doc", *COUNTS, "base_failed", "u.*").selectExpr("*", *(f"CASE WHEN base_failed THEN NULL ELSE {e} END AS z{i}" for i, e in zip(P, STATS)))
     out = out.selectExpr("doc", *COUNTS, "base_failed", "scale", *distance()).withColumn("d2", F.expr("d2 / scale"))

@@ -202,21 +202,34 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int
     return each.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(radius), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """Per row: rid, doc (carried columns), fp, component_id and keeper (rid of the one row to keep)."""
-    carry = docs.columns if carry is None else carry
-    rows = fingerprints(docs, carry)
+def classes(rows: DataFrame, id_col: str, radius: int, blocks: int, tile: int) -> DataFrame:
+    """(fp, best): for each fingerprint, the struct (no, id, rid) of its class's first row."""
     first = F.min(F.struct(F.col("doc")[id_col].isNull().alias("no"), F.col("doc")[id_col].alias("id"), F.col("rid").alias("rid")))
     fps = cut(rows.groupBy("fp").agg(first.alias("first")))
     linked = cut(links(fps.select("fp"), radius, blocks, tile).distinct())
+    small_batches(rows.sparkSession)  # links takes larger batches of its short rows
     comp = connected_components(linked)
     joined = comp.join(fps, F.col("node") == F.col("fp")).select("fp", "first", "component")
     best = joined.groupBy("component").agg(F.min("first").alias("best"))
-    classes = joined.select("fp", "component").join(best, "component").select("fp", "best")
-    every = fps.join(classes, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
+    found = joined.select("fp", "component").join(best, "component").select("fp", "best")
+    return fps.join(found, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
+
+
+def near_duplicates(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """Per row: rid, doc (carried columns), fp, component_id and keeper (rid of the one row to keep)."""
+    rows = fingerprints(docs, docs.columns if carry is None else carry)
+    every = classes(rows, id_col, radius, blocks, tile)
     return rows.join(every, "fp").select("rid", "doc", "fp", F.col("best.id").alias("component_id"), F.col("best.rid").alias("keeper"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """docs with one row of each class, that of the smallest id. Texts are dealt by row number, so copies don't meet in a task."""
+    rows = fingerprints(docs, docs.columns)
+    kept = classes(rows, id_col, radius, blocks, tile).select(F.col("best.rid").alias("rid")).distinct()
+    left = rows.join(kept, "rid", "left_semi")
+    return left.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
