@@ -591,8 +591,8 @@ def rebac_permitted(g):
     return access.permitted(g.domain("customer").nodes.select("node"), g.relation("CUST_IN").edges, None, grants, grants.join(debt, "dst", "left_semi"))
 
 
-@on_graph("scatter_gather", "SELECT l_partkey AS node, round(avg(o_totalprice), 2) AS mean_price, round(avg(CAST(year(o_orderdate) AS DOUBLE)), 6) AS mean_year FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+@on_graph("scatter_gather", "SELECT l_partkey AS node, avg(round(o_totalprice * 100)) AS mean_cents, round(avg(CAST(year(o_orderdate) AS DOUBLE)), 6) AS mean_year FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def scatter_gather(g):
-    f = g.domain("orders").nodes.select("node", F.array("o_totalprice", F.year("o_orderdate").cast("double")).alias("value"))
+    f = g.domain("orders").nodes.select("node", F.array(F.round(F.col("o_totalprice") * 100), F.year("o_orderdate").cast("double")).alias("value"))
     r = A.scatter_gather(g.relation("CONTAINS").edges, f)
-    return r.select("node", F.round(F.col("value")[0], 2).alias("mean_price"), F.round(F.col("value")[1], 6).alias("mean_year"))
+    return r.select("node", F.col("value")[0].alias("mean_cents"), F.round(F.col("value")[1], 6).alias("mean_year"))
