@@ -21,15 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+def cut(df: DataFrame, instead_of: Iterable[DataFrame] = (), codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lineage ends there.
 
     ``instead_of`` are earlier cuts that nothing needs once this one is written, such
-    as a loop's last round; their files go.
+    as a loop's last round; their files go. ``codec`` zstd suits tables that carry texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     for old in instead_of:
