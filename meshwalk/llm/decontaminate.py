@@ -65,7 +65,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: list
     base = docs.select(F.struct(*carry).alias("doc"), text_of().alias("t"))
     if len(few) <= max_set:
         seen = base.select("doc", let(alnum_words_of(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), hits_in_scan(w, lengths).alias("hits"))).alias("x"))
-        seen = cut(seen.select(F.monotonically_increasing_id().alias("rid"), "doc", "x.n_words", "x.hits"))
+        seen = cut(seen.select(F.monotonically_increasing_id().alias("rid"), "doc", "x.n_words", "x.hits"), codec="zstd")
     else:
         seen = _hits_by_join(base, grams, n)
     verified = (

@@ -132,7 +132,7 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, min_rows: int
     by_name = {c.lower() for c in docs.columns}
     of = lambda c: F.col(c).cast("string") if c in by_name else F.lit(None).cast("string")
     rows = docs.select(F.struct(*carry).alias("doc"), of("lang").alias("lang"), of("source").alias("source"), counts(text_of()).alias("c"))
-    stats = cut(rows.select("doc", "lang", "source", "c.*").withColumn("base_failed", F.expr(BASE_FAILED)))
+    stats = cut(rows.select("doc", "lang", "source", "c.*").withColumn("base_failed", F.expr(BASE_FAILED)), codec="zstd")
     keys = cut(group_keys(stats, min_rows))
     z = stats.where("NOT base_failed").select("lang", "source", *(F.expr(f"{e} AS z{i}") for i, e in zip(P, STATS)))
     z = cut(z.alias("z").join(keys.alias("k"), F.expr("z.lang <=> k.lang AND z.source <=> k.source")).select("g", *(f"z{i}" for i in P)))

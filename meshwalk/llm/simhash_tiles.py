@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, carry: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*carry).alias("doc"), F.col("text").cast("string").alias("t"))
     schema = rows.select("doc").schema.add("fp", "long")
-    return cut(rows.mapInArrow(_fingerprints, schema).withColumn("rid", F.monotonically_increasing_id()))
+    return cut(rows.mapInArrow(_fingerprints, schema).withColumn("rid", F.monotonically_increasing_id()), codec="zstd")
 
 
 def choices(radius: int, blocks: int) -> list[int]:
