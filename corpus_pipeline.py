@@ -41,8 +41,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring template lines go from the texts; no document does."""
-    found = lt.drop_templates(docs).drop("lines_info").select(F.struct(*docs.columns).alias("doc"))
+    """Recurring template lines, single or in blocks, go from the texts; no document does."""
+    found = lt.drop_templates(docs, whole=True).drop("lines_info").select(F.struct(*docs.columns).alias("doc"))
     return _like(docs, found, F.col("doc.text"))
 
 

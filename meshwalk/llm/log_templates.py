@@ -16,6 +16,10 @@ others, not a text with boilerplate in it: it neither counts nor loses lines, as
 copies are for the near-duplicate stages and mustn't be emptied here. Equal texts
 count once.
 
+With ``whole`` (the pipeline's stage; the query is held to its SQL, which judges each
+line alone) the surroundings are those of the block, the maximal run of lines that
+each stand in enough texts, so that boilerplate of several lines goes as one.
+
 Texts are read twice or three times; hashes of lines are shuffled, not texts. The
 lists of lines to drop are sent to the texts while they are within a bound in
 bytes, which is counted first, else joined by a shuffle.
@@ -27,7 +31,7 @@ lines whatever their doc_id; other columns come along untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked, cut, let, text_of, words_of
@@ -46,13 +50,13 @@ def leaf_of(words: Column) -> Column:
     return F.xxhash64(F.size(words), F.slice(words, 1, LEAD))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """th (hash of the text), total (its words), pos, n, leaf, template, before, after of every line with words enough."""
+def line_table(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """th (hash of the text), total (its words), pos, n, leaf, template, before, after of every line with words enough; whole: also place, its number among lines with words."""
     lines = F.transform(F.split(F.col("t"), "\n"), lambda x, i: let(masked(x), lambda w: F.struct(i.alias("pos"), F.size(w).alias("n"), leaf_of(w).alias("leaf"), F.xxhash64(w).alias("template"))))
     some = F.filter(lines, lambda x: x["n"] > 0)
     total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     near = lambda x, i: F.coalesce(F.get(x, i)["template"], F.xxhash64("t"))
-    each = let(some, lambda s: let(total(s), lambda k: F.transform(s, lambda x, i: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), x["leaf"].alias("leaf"), x["template"].alias("template"), near(s, i - 1).alias("before"), near(s, i + 1).alias("after"), k.alias("total")))))
+    each = let(some, lambda s: let(total(s), lambda k: F.transform(s, lambda x, i: F.struct(x["pos"].alias("pos"), *([i.alias("place")] if whole else []), x["n"].alias("n"), x["leaf"].alias("leaf"), x["template"].alias("template"), near(s, i - 1).alias("before"), near(s, i + 1).alias("after"), k.alias("total")))))
     rows = docs.select(text_of().alias("t")).select(F.xxhash64("t").alias("th"), F.inline(each))
     return rows.where(F.col("n").between(MIN_WORDS, MAX_WORDS))
 
@@ -63,18 +67,28 @@ def recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     return found.where((F.col("docs") >= min_docs) & (F.least("before", "after") >= VARIED * F.col("docs"))).select(key)
 
 
-def settled(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
+def in_blocks(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """Lines whose keys stand in enough texts, one row per text and place, with the surroundings of the run that they are in."""
+    often = lines.groupBy(key).agg(F.count_distinct("th").alias("docs")).where(F.col("docs") >= min_docs).select(key)
+    met = lines.join(cut(often), key, "left_semi").dropDuplicates(["th", "pos"])
+    run = met.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("th").orderBy("place")))
+    ordered = Window.partitionBy("th", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return run.withColumns({"before": F.first("before").over(ordered), "after": F.last("after").over(ordered)}).drop("run")
+
+
+def settled(lines: DataFrame, key: str, min_docs: int, whole: bool = False) -> DataFrame:
     """Lines of recurring keys, texts that consist mostly of such lines left out."""
+    lines = cut(in_blocks(lines, key, min_docs)) if whole else lines
     flagged = lines.join(cut(recurring(lines, key, min_docs)), key, "left_semi")
     light = flagged.groupBy("th", "pos").agg(F.first("n").alias("n"), F.first("total").alias("total")).groupBy("th").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where(F.col("n") <= MOST * F.col("total")).select("th")
     left = cut(flagged.join(light, "th", "left_semi"))
     return left.join(cut(recurring(left, key, min_docs)), key, "left_semi")
 
 
-def generalised(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, whole: bool = False) -> DataFrame:
     """(th, pos) of the lines that fit a template with places generalised."""
     varied = lines.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b")).where("a <> b").select("leaf")
-    met = cut(settled(lines.join(varied, "leaf", "left_semi"), "leaf", min_docs).select("th", "pos", "leaf").distinct())
+    met = cut(settled(lines.join(varied, "leaf", "left_semi"), "leaf", min_docs, whole).select("th", "pos", "leaf").distinct())
     if met.isEmpty():
         return met.select("th", "pos")
     wanted = met.groupBy("th").agg(F.collect_list(F.struct("pos", "leaf")).alias("want"))
@@ -88,11 +102,11 @@ def generalised(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     return fits.select("th", "pos")
 
 
-def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
     """docs with the recurring lines gone from ``text``, and n_lines and n_dropped in the struct ``lines_info``."""
-    lines = cut(line_table(docs))
-    equal = settled(lines, "template", min_docs).select("th", "pos")
-    drops = equal.unionByName(generalised(docs, lines, min_docs)).groupBy("th").agg(F.collect_set("pos").alias("drop"))
+    lines = cut(line_table(docs, whole))
+    equal = settled(lines, "template", min_docs, whole).select("th", "pos")
+    drops = equal.unionByName(generalised(docs, lines, min_docs, whole)).groupBy("th").agg(F.collect_set("pos").alias("drop"))
     drops = cut(drops)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), text_of().alias("t")).withColumn("th", F.xxhash64("t"))
     met = rows.join(checked(drops, "drop"), "th", "left")
