@@ -18,7 +18,9 @@ count once.
 
 With ``whole`` (the pipeline's stage; the query is held to its SQL, which judges each
 line alone) the surroundings are those of the block, the maximal run of lines that
-each stand in enough texts, so that boilerplate of several lines goes as one.
+each stand in enough texts, so that boilerplate of several lines goes as one. Lines
+of any length count there; those of under ``MIN_WORDS`` words must stand in
+``SHORT_TIMES`` times as many texts.
 
 Texts are read twice or three times; hashes of lines are shuffled, not texts. The
 lists of lines to drop are sent to the texts while they are within a bound in
@@ -38,6 +40,7 @@ from .common import checked, cut, let, text_of, words_of
 
 LEAD, MIN_DOCS, VARIED, SAME, STEADY = 4, 8, 0.5, 0.6, 0.9
 MIN_WORDS, MAX_WORDS, MOST = 3, 40, 0.5
+SHORT_TIMES = 4  # a line of under MIN_WORDS words must stand in so many times as many texts
 FIELD = "<*>"
 
 
@@ -51,25 +54,30 @@ def leaf_of(words: Column) -> Column:
 
 
 def line_table(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """th (hash of the text), total (its words), pos, n, leaf, template, before, after of every line with words enough; whole: also place, its number among lines with words."""
+    """th (hash of the text), total (its words), pos, n, leaf, template, before, after of every line of MIN_WORDS to MAX_WORDS words; whole: of every line with words, and place, its number among these."""
     lines = F.transform(F.split(F.col("t"), "\n"), lambda x, i: let(masked(x), lambda w: F.struct(i.alias("pos"), F.size(w).alias("n"), leaf_of(w).alias("leaf"), F.xxhash64(w).alias("template"))))
     some = F.filter(lines, lambda x: x["n"] > 0)
     total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     near = lambda x, i: F.coalesce(F.get(x, i)["template"], F.xxhash64("t"))
     each = let(some, lambda s: let(total(s), lambda k: F.transform(s, lambda x, i: F.struct(x["pos"].alias("pos"), *([i.alias("place")] if whole else []), x["n"].alias("n"), x["leaf"].alias("leaf"), x["template"].alias("template"), near(s, i - 1).alias("before"), near(s, i + 1).alias("after"), k.alias("total")))))
     rows = docs.select(text_of().alias("t")).select(F.xxhash64("t").alias("th"), F.inline(each))
-    return rows.where(F.col("n").between(MIN_WORDS, MAX_WORDS))
+    return rows if whole else rows.where(F.col("n").between(MIN_WORDS, MAX_WORDS))
 
 
-def recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
+def needed(min_docs: int) -> Column:
+    """In how many texts a line of n words must stand."""
+    return F.when(F.col("n") < MIN_WORDS, SHORT_TIMES * min_docs).otherwise(min_docs)
+
+
+def recurring(lines: DataFrame, key: str, min_docs: int, whole: bool = False) -> DataFrame:
     """Keys that stand in enough texts and surroundings."""
-    found = lines.groupBy(key).agg(F.count_distinct("th").alias("docs"), F.count_distinct("before").alias("before"), F.count_distinct("after").alias("after"))
-    return found.where((F.col("docs") >= min_docs) & (F.least("before", "after") >= VARIED * F.col("docs"))).select(key)
+    found = lines.groupBy(key).agg(F.count_distinct("th").alias("docs"), F.count_distinct("before").alias("before"), F.count_distinct("after").alias("after"), *([F.max("n").alias("n")] if whole else []))
+    return found.where((F.col("docs") >= (needed(min_docs) if whole else min_docs)) & (F.least("before", "after") >= VARIED * F.col("docs"))).select(key)
 
 
 def in_blocks(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     """Lines whose keys stand in enough texts, one row per text and place, with the surroundings of the run that they are in."""
-    often = lines.groupBy(key).agg(F.count_distinct("th").alias("docs")).where(F.col("docs") >= min_docs).select(key)
+    often = lines.groupBy(key).agg(F.count_distinct("th").alias("docs"), F.max("n").alias("n")).where(F.col("docs") >= needed(min_docs)).select(key)
     met = lines.join(cut(often), key, "left_semi").dropDuplicates(["th", "pos"])
     run = met.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("th").orderBy("place")))
     ordered = Window.partitionBy("th", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -79,10 +87,10 @@ def in_blocks(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
 def settled(lines: DataFrame, key: str, min_docs: int, whole: bool = False) -> DataFrame:
     """Lines of recurring keys, texts that consist mostly of such lines left out."""
     lines = cut(in_blocks(lines, key, min_docs)) if whole else lines
-    flagged = lines.join(cut(recurring(lines, key, min_docs)), key, "left_semi")
+    flagged = lines.join(cut(recurring(lines, key, min_docs, whole)), key, "left_semi")
     light = flagged.groupBy("th", "pos").agg(F.first("n").alias("n"), F.first("total").alias("total")).groupBy("th").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where(F.col("n") <= MOST * F.col("total")).select("th")
     left = cut(flagged.join(light, "th", "left_semi"))
-    return left.join(cut(recurring(left, key, min_docs)), key, "left_semi")
+    return left.join(cut(recurring(left, key, min_docs, whole)), key, "left_semi")
 
 
 def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, whole: bool = False) -> DataFrame:

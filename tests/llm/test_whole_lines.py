@@ -1,4 +1,4 @@
-"""The pipeline's line dedup: blocks of lines."""
+"""The pipeline's line dedup: blocks of lines, long and short lines."""
 
 import random
 
@@ -30,3 +30,10 @@ def test_near_copies_stay(spark, words):
     copy = [words(12) for _ in range(12)]
     texts = ["\n".join([*copy[:k % 12], words(12), *copy[k % 12 + 1 :]]) for k in range(24)]
     assert left(spark, texts) == dict(enumerate(texts))
+
+
+def test_lines_of_any_length_go(spark, words):
+    notice, own = words(60), [[words(30) for _ in range(3)] for _ in range(36)]
+    texts = ["\n".join([a[0], *([notice] if i < 10 else []), a[1], "Read more", a[2], *(["Rare"] if i < 10 else [])]) for i, a in enumerate(own)]
+    want = {i: "\n".join([*a, *(["Rare"] if i < 10 else [])]) for i, a in enumerate(own)}
+    assert left(spark, texts) == want
