@@ -20,7 +20,10 @@ With ``whole`` (the pipeline's stage; the query is held to its SQL, which judges
 line alone) the surroundings are those of the block, the maximal run of lines that
 each stand in enough texts, so that boilerplate of several lines goes as one. Lines
 of any length count there; those of under ``MIN_WORDS`` words must stand in
-``SHORT_TIMES`` times as many texts.
+``SHORT_TIMES`` times as many texts. A near copy is then a text with over ``MOST`` of
+its words in lines of a fixed sequence: those with the line before or after them (or
+end of text) that their template has in ``VARIED`` of its texts or more. A text of
+separate templates in no fixed order loses them, however many they are.
 
 Texts are read twice or three times; hashes of lines are shuffled, not texts. The
 lists of lines to drop are sent to the texts while they are within a bound in
@@ -79,16 +82,31 @@ def in_blocks(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     """Lines whose keys stand in enough texts, one row per text and place, with the surroundings of the run that they are in."""
     often = lines.groupBy(key).agg(F.count_distinct("th").alias("docs"), F.max("n").alias("n")).where(F.col("docs") >= needed(min_docs)).select(key)
     met = lines.join(cut(often), key, "left_semi").dropDuplicates(["th", "pos"])
+    end = lambda c: F.when(F.col(c) != F.col("th"), F.col(c)).otherwise(0)
+    met = met.withColumns({"above": end("before"), "below": end("after")})
     run = met.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("th").orderBy("place")))
     ordered = Window.partitionBy("th", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return run.withColumns({"before": F.first("before").over(ordered), "after": F.last("after").over(ordered)}).drop("run")
 
 
+def in_sequence(lines: DataFrame, key: str) -> DataFrame:
+    """lines with ``fixed``: whether the line stands by the neighbour that its key has in VARIED of its texts or more."""
+    found = lines.groupBy(key).agg(F.count_distinct("th").alias("docs"))
+    for side in ("above", "below"):
+        pairs = lines.groupBy(key, side).agg(F.count_distinct("th").alias("n"))
+        found = found.join(pairs.groupBy(key).agg(F.max_by(side, "n").alias(f"most_{side}"), F.max("n").alias(f"n_{side}")), key)
+    usual = lambda side: (F.col(side) == F.col(f"most_{side}")) & (F.col(f"n_{side}") >= VARIED * F.col("docs"))
+    return lines.join(cut(found), key).withColumn("fixed", usual("above") | usual("below")).select(*lines.columns, "fixed")
+
+
 def settled(lines: DataFrame, key: str, min_docs: int, whole: bool = False) -> DataFrame:
-    """Lines of recurring keys, texts that consist mostly of such lines left out."""
+    """Lines of recurring keys, near copies left out: texts mostly of such lines; whole: of such lines in a fixed sequence."""
     lines = cut(in_blocks(lines, key, min_docs)) if whole else lines
     flagged = lines.join(cut(recurring(lines, key, min_docs, whole)), key, "left_semi")
-    light = flagged.groupBy("th", "pos").agg(F.first("n").alias("n"), F.first("total").alias("total")).groupBy("th").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where(F.col("n") <= MOST * F.col("total")).select("th")
+    if whole:
+        flagged = cut(in_sequence(cut(flagged), key))
+    counted = F.when(F.col("fixed"), F.col("n")).otherwise(0) if whole else F.col("n")
+    light = flagged.groupBy("th", "pos").agg(F.first(counted).alias("n"), F.first("total").alias("total")).groupBy("th").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where(F.col("n") <= MOST * F.col("total")).select("th")
     left = cut(flagged.join(light, "th", "left_semi"))
     return left.join(cut(recurring(left, key, min_docs, whole)), key, "left_semi")
 

@@ -1,4 +1,4 @@
-"""The pipeline's line dedup: blocks of lines, long and short lines."""
+"""The pipeline's line dedup: blocks of lines, long and short lines, texts of templates alone."""
 
 import random
 
@@ -37,3 +37,10 @@ def test_lines_of_any_length_go(spark, words):
     texts = ["\n".join([a[0], *([notice] if i < 10 else []), a[1], "Read more", a[2], *(["Rare"] if i < 10 else [])]) for i, a in enumerate(own)]
     want = {i: "\n".join([*a, *(["Rare"] if i < 10 else [])]) for i, a in enumerate(own)}
     assert left(spark, texts) == want
+
+
+def test_texts_of_separate_templates_lose_them(spark, words):
+    rng, common = random.Random(3), [words(8) for _ in range(12)]
+    own = [words(5) for _ in range(60)]
+    texts = ["\n".join([*rng.sample(common, 3), a, *rng.sample(common, 3)]) for a in own]
+    assert left(spark, texts) == dict(enumerate(own))
