@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshwalk.plans.durable import cut, shared_dir
 
-__all__ = ["alnum_words_of", "ascii_lower", "checked", "cut", "let", "shared_dir", "ship", "small_batches", "table", "text_of", "words_of"]
+__all__ = ["alnum_words_of", "ascii_lower", "checked", "cut", "let", "shared_dir", "ship", "sized", "small_batches", "table", "text_of", "words_of"]
 
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -48,8 +48,17 @@ def alnum_words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_ALNUM), "")
 
 
+#: A table of fewer bytes for each core is dealt anew, as a small file may be one row group, which is one task.
+FEW_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.read.parquet(path)
+    return df.repartition(cores) if size < cores * FEW_BYTES else df
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -70,3 +79,9 @@ def checked(df: DataFrame, values: str, bound: int = BROADCAST_BYTES) -> DataFra
     """With a broadcast hint if the rows and their lists ``values`` of longs are within the bound."""
     size = df.agg(F.sum(48 + 8 * F.size(values))).first()[0] or 0
     return F.broadcast(df) if size <= bound else df
+
+
+def sized(df: DataFrame, row_bytes: int = 24, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """A cut of a table of keys, with a broadcast hint if its counted rows are within the bound."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() * row_bytes <= bound else df

@@ -101,34 +101,50 @@ def leaks() -> str:
 def templates() -> str:
     mask = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
     words = f"list_filter(string_split_regex(regexp_replace(line, '{mask}', '{lt.FIELD}', 'g'), '{SPACE}'), lambda x: x <> '')"
-
-    def settled(name: str, source: str, key: str) -> list[str]:
-        rec = lambda n, of: f"{n} AS MATERIALIZED (SELECT {key} FROM {of} GROUP BY 1 HAVING count(DISTINCT t) >= {lt.MIN_DOCS} AND least(count(DISTINCT before), count(DISTINCT after)) >= {lt.VARIED} * count(DISTINCT t))"
-        return [
-            rec(f"{name}r", source),
-            f"{name}f AS MATERIALIZED (SELECT * FROM {source} WHERE {key} IN (SELECT {key} FROM {name}r))",
-            f"{name}l AS MATERIALIZED (SELECT * FROM {name}f WHERE t IN (SELECT t FROM {name}f GROUP BY t HAVING sum(n) <= {lt.MOST} * max(total)))",
-            rec(f"{name}k", f"{name}l"),
-            f"{name} AS MATERIALIZED (SELECT t, pos, leaf, w FROM {name}l WHERE {key} IN (SELECT {key} FROM {name}k))",
-        ]
-
+    need = f"CASE WHEN max(n) < {lt.FEW_WORDS} THEN {lt.SHORT_TIMES * lt.MIN_DOCS} ELSE {lt.MIN_DOCS} END"
+    runs = f"list_transform(range(least(n, {lt.PARTS})), lambda j: array_to_string(w[1 + j * n // least(n, {lt.PARTS}):(j + 1) * n // least(n, {lt.PARTS})], ' '))"
     parts = [
-        "d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
-        "u AS (SELECT DISTINCT t FROM d)",
-        f"a AS MATERIALIZED (SELECT t, pos, {words} AS w FROM (SELECT t, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM u))",
-        "b AS MATERIALIZED (SELECT t, pos, w, len(w) AS n, array_to_string(w, ' ') AS template, concat(len(w), ' ', array_to_string(w[1:4], ' ')) AS leaf FROM a WHERE len(w) > 0)",
-        "c AS MATERIALIZED (SELECT *, coalesce(lag(template) OVER x, concat(chr(10), t)) AS before, coalesce(lead(template) OVER x, concat(chr(10), t)) AS after, sum(n) OVER (PARTITION BY t) AS total FROM b WINDOW x AS (PARTITION BY t ORDER BY pos))",
-        f"lines AS MATERIALIZED (SELECT * FROM c WHERE n BETWEEN {lt.MIN_WORDS} AND {lt.MAX_WORDS})",
-        *settled("eq", "lines", "template"),
-        "various AS MATERIALIZED (SELECT * FROM lines WHERE leaf IN (SELECT leaf FROM lines GROUP BY 1 HAVING min(template) <> max(template)))",
-        *settled("lf", "various", "leaf"),
-        "pl AS (SELECT leaf, i, word, count(*) AS k FROM (SELECT leaf, unnest(w) AS word, unnest(range(len(w))) AS i FROM lf) GROUP BY 1, 2, 3)",
-        f"steady AS (SELECT leaf, i, max_by(word, k) AS word FROM pl GROUP BY 1, 2 HAVING max(k) >= {lt.STEADY} * sum(k))",
-        f"fit AS (SELECT lf.t, lf.pos FROM lf JOIN steady ON steady.leaf = lf.leaf GROUP BY lf.t, lf.pos, lf.w HAVING count(*) >= {lt.SAME} * len(lf.w) AND bool_and(lf.w[i + 1] = word))",
-        "gone AS MATERIALIZED (SELECT t, list(DISTINCT pos) AS drop FROM (SELECT t, pos FROM eq UNION SELECT t, pos FROM fit) GROUP BY 1)",
+        "d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents)",
+        f"a AS MATERIALIZED (SELECT rid, t, pos, {words} AS w FROM (SELECT rid, t, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d))",
+        "b AS MATERIALIZED (SELECT rid, t, pos, w, len(w) AS n, array_to_string(w, ' ') AS template FROM a WHERE len(w) > 0)",
+        "lines AS MATERIALIZED (SELECT *, row_number() OVER x AS place, coalesce(lag(template) OVER x, '') AS before, coalesce(lead(template) OVER x, '') AS after, sum(n) OVER (PARTITION BY rid) AS total FROM b WINDOW x AS (PARTITION BY rid ORDER BY pos))",
+        f"eq AS MATERIALIZED (SELECT template FROM lines GROUP BY 1 HAVING count(DISTINCT t) >= {need})",
+        "l0 AS MATERIALIZED (SELECT *, concat(n, '/') AS leaf FROM lines WHERE template NOT IN (SELECT template FROM eq))",
+    ]
+    for k in range(lt.LEAD):
+        parts += [
+            f"br{k} AS MATERIALIZED (SELECT leaf, w[{k + 1}] AS word FROM l{k} GROUP BY 1, 2 HAVING count(*) >= {lt.MIN_DOCS})",
+            f"l{k + 1} AS MATERIALIZED (SELECT l{k}.* EXCLUDE leaf, concat(l{k}.leaf, CASE WHEN br{k}.leaf IS NULL THEN '*' ELSE concat('=', word) END, '/') AS leaf FROM l{k} LEFT JOIN br{k} ON br{k}.leaf = l{k}.leaf AND word IS NOT DISTINCT FROM w[{k + 1}])",
+        ]
+    left, keyed = f"l{lt.LEAD}", []
+    for r, share in enumerate(lt.SHARES):
+        parts += [
+            f"ex{r} AS MATERIALIZED (SELECT rid, pos, leaf, unnest(range(len(p))) AS i, unnest(p) AS h FROM (SELECT rid, pos, leaf, {runs} AS p FROM {left}))",
+            f"of{r} AS MATERIALIZED (SELECT leaf, i, h FROM (SELECT leaf, i, h, count(*) AS k FROM ex{r} GROUP BY ALL) JOIN (SELECT leaf, count(*) AS lines FROM {left} GROUP BY 1) USING (leaf) WHERE k >= {lt.MIN_DOCS} AND k >= {share} * lines)",
+            f"co{r} AS MATERIALIZED (SELECT rid, pos, count(*) AS constants, string_agg(concat(i, ':', h), chr(10) ORDER BY i) AS mark FROM ex{r} JOIN of{r} USING (leaf, i, h) GROUP BY 1, 2)",
+            f"ne{r} AS MATERIALIZED (SELECT x.*, concat(leaf, chr(10), mark) AS key{r} FROM {left} x JOIN co{r} ON co{r}.rid = x.rid AND co{r}.pos = x.pos WHERE constants >= {lt.SAME} * least(n, {lt.PARTS}))",
+            f"ke{r} AS MATERIALIZED (SELECT key{r} FROM ne{r} GROUP BY 1 HAVING count(DISTINCT t) >= {need})",
+            f"le{r} AS MATERIALIZED (SELECT * EXCLUDE key{r} FROM ne{r} WHERE key{r} NOT IN (SELECT key{r} FROM ke{r}))",
+        ]
+        keyed.append(f"SELECT t, pos, place, n, total, before, after, concat('g{r}', chr(10), key{r}) AS key FROM ne{r} WHERE key{r} IN (SELECT key{r} FROM ke{r})")
+        left = f"le{r}"
+    recurs = lambda name, source: f"{name} AS MATERIALIZED (SELECT key FROM {source} GROUP BY 1 HAVING count(DISTINCT t) >= {need} AND least(count(DISTINCT before), count(DISTINCT after)) >= {lt.VARIED} * count(DISTINCT t))"
+    parts += [
+        f"met AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT t, pos, place, n, total, before, after, template AS key FROM lines WHERE template IN (SELECT template FROM eq) UNION ALL {' UNION ALL '.join(keyed)}))",
+        "run AS MATERIALIZED (SELECT *, CASE WHEN lag(place) OVER x = place - 1 THEN lag(key) OVER x ELSE before END AS above, CASE WHEN lead(place) OVER x = place + 1 THEN lead(key) OVER x ELSE after END AS below, place - row_number() OVER x AS run FROM met WINDOW x AS (PARTITION BY t ORDER BY place))",
+        "blk AS MATERIALIZED (SELECT * REPLACE (first_value(before) OVER x AS before, last_value(after) OVER x AS after) FROM run WINDOW x AS (PARTITION BY t, run ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+        "pa AS MATERIALIZED (SELECT * REPLACE (CASE before WHEN '' THEN concat(chr(10), t) ELSE before END AS before, CASE after WHEN '' THEN concat(chr(10), t) ELSE after END AS after) FROM blk)",
+        recurs("re1", "pa"),
+        "fl AS MATERIALIZED (SELECT * FROM pa WHERE key IN (SELECT key FROM re1))",
+        "kd AS MATERIALIZED (SELECT key, count(DISTINCT t) AS docs FROM fl GROUP BY 1)",
+        *(f"us_{side} AS MATERIALIZED (SELECT key, {side} FROM (SELECT key, {side}, count(DISTINCT t) AS k FROM fl GROUP BY 1, 2) JOIN kd USING (key) WHERE k >= {lt.VARIED} * docs)" for side in ("above", "below")),
+        "sq AS MATERIALIZED (SELECT fl.*, a.key IS NOT NULL OR b.key IS NOT NULL AS fixed FROM fl LEFT JOIN us_above a ON a.key = fl.key AND a.above = fl.above LEFT JOIN us_below b ON b.key = fl.key AND b.below = fl.below)",
+        f"lf AS MATERIALIZED (SELECT * FROM sq WHERE t IN (SELECT t FROM sq GROUP BY t HAVING sum(CASE WHEN fixed THEN n ELSE 0 END) <= {lt.MOST} * max(total)))",
+        recurs("re2", "lf"),
+        "gone AS MATERIALIZED (SELECT t, list(DISTINCT pos) AS drop FROM lf WHERE key IN (SELECT key FROM re2) GROUP BY 1)",
     ]
-    left = "array_to_string(list_transform(list_filter(list_zip(string_split(t, chr(10)), range(len(string_split(t, chr(10))))), lambda x: NOT list_contains(drop, x[2])), lambda x: x[1]), chr(10))"
-    return f"WITH {', '.join(parts)} SELECT doc_id, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(len(drop), 0) AS BIGINT) AS n_dropped, sha256(CASE WHEN drop IS NULL THEN t ELSE {left} END) AS kept_sha256 FROM d LEFT JOIN gone USING (t)"
+    kept = "array_to_string(list_transform(list_filter(list_zip(string_split(t, chr(10)), range(len(string_split(t, chr(10))))), lambda x: NOT list_contains(drop, x[2])), lambda x: x[1]), chr(10))"
+    return f"WITH {', '.join(parts)} SELECT doc_id, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(len(drop), 0) AS BIGINT) AS n_dropped, sha256(CASE WHEN drop IS NULL THEN t ELSE {kept} END) AS kept_sha256 FROM d LEFT JOIN gone USING (t)"
 
 
 def licenses() -> str:
