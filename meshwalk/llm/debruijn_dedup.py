@@ -5,30 +5,43 @@ its first and its last 19 words. Most edges lie on paths without branches, which
 occur as a whole or not at all. So each document is cut where the least hashed
 6-word run of its window changes: consecutive windows that hold the same
 occurrence of that run, the path's anchor, travel as one row of (anchor, hash of
-the path, document, start, windows), about one row in eight words. All windows of
+the path, coordinates, windows), about one row in eight words. All windows of
 a path are different, as each holds its anchor elsewhere.
 
 Joins then compact: paths whose anchor occurs once in the corpus can't repeat and
 are dropped; equal paths are one class with its first source coordinates; an
 anchor with several classes is where the graph branches, and only there are single
 windows compared, one class at a time whatever its number of occurrences. A window
-is repeated if its source coordinates aren't the first of its class. Identity is
-that of two independent 64-bit hashes, anchor and path (or window).
+is repeated if its source coordinates aren't the first of its class.
+
+The 64-bit hashes of anchor and path only find candidates. A span is removed only if
+its words are those at the source coordinates: both ends' words are read and compared
+by their BLAKE2b digests, which have nothing in common with the hashes; inside one
+document the words themselves are compared. What fails stays.
+
+Coordinates are a row's own number and the word, so rows that share a doc_id, or have
+none, are documents of their own; doc_id is for the order of occurrences alone, and
+rows of equal doc_id come in the order of their numbers. The numbers are written with
+the texts once, so that all passes and tasks that run again agree on them.
 
 No key's rows are collected: counts and minima combine before each shuffle, and
 the joins on hot classes are ones that adaptive execution splits. What is sought in
 or removed from a document is a list of longs; such a table is sent to the texts
 while it is within ``BROADCAST_BYTES``, which is counted first, and beyond that the
-texts are joined by a shuffle.
+texts are joined by a shuffle. Texts are read in four passes, as paths take more room
+than the texts that they are made from: anchors, paths of shared anchors, windows at
+branches, removal.
 
 Defined results: null or empty texts have no words; a text of under 20 words loses
-none; rows with equal doc_id are read as one document, so that a window there
-isn't earlier than itself; a null doc_id comes before all others.
+none; texts may have up to 2 ** 28 words, beyond which an error is raised; a null
+doc_id comes before all others; of repeated rows the first keeps its words; an empty
+table gives an empty table; carried columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -66,15 +79,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def digests(words: list[bytes], start, count) -> list[int]:
+    """Signed 64-bit digests of the words of spans; a span has count words."""
+    return [int.from_bytes(blake2b(b" ".join(words[s : s + n]), digest_size=8).digest(), "little", signed=True) for s, n in zip(start.tolist(), count.tolist(), strict=True)]
+
+
 class Paths:
     """The paths of one document: arrays anchor, path, start, windows, and which are its first of a kind."""
 
     def __init__(self, words: list[bytes]):
-        from xxhash import xxh64_intdigest
-
         n = len(words)
+        if n >> INDEX_BITS:
+            raise ValueError(f"a text of {n} words; 2 ** {INDEX_BITS} are too many")
         up, self.down = powers(n + 1)
-        x = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, n)
+        x = word_hashes(words)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(x * up[:n], out=self.prefix[1:])
         grams = mix(self.hashes(np.arange(n - ANCHOR + 1), ANCHOR))
@@ -91,9 +115,14 @@ class Paths:
         self.anchor = grams[at[self.start]]
         self.path = mix(self.hashes(self.start, self.windows + WINDOW - 1) + self.windows.astype(np.uint64))
         kind = mix(self.anchor) + self.path
-        _, first = np.unique(kind, return_index=True)
+        _, first, own = np.unique(kind, return_index=True, return_inverse=True)
+        self.origin = first[own]
         self.first = np.zeros(len(kind), bool)
         self.first[first] = True
+        # A path that is hashed like an earlier one of the document but has other words is one of its own.
+        for k in np.flatnonzero(~self.first).tolist():
+            a, b, size = self.start[k], self.start[self.origin[k]], self.windows[k] + WINDOW - 1
+            self.first[k] = words[a : a + size] != words[b : b + size]
 
     def hashes(self, start: np.ndarray, width) -> np.ndarray:
         return (self.prefix[start + width] - self.prefix[start]) * self.down[start]
@@ -112,24 +141,43 @@ def _long(x) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 
 
+def _columns(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+
+
+def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> anchor of each document's paths, each path once."""
+    for b in batches:
+        parts = []
+        for text in _texts(b.column(0)):
+            words = words_of(text)
+            if len(words) >= WINDOW:
+                p = Paths(words)
+                parts.append((p.anchor[p.first],))
+        if parts:
+            yield _columns(parts, ["anchor"])
+
+
 def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, text -> anchor, path, d, s, n: each document's first occurrence of each path."""
+    """d, r, text -> anchor, path, d, r, s, n, v: each document's first occurrence of each path; v: digest of its words."""
     for b in batches:
         parts = []
-        for d, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
+        for d, r, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), strict=True):
             words = words_of(text)
             if len(words) >= WINDOW:
                 p = Paths(words)
-                parts.append((p.anchor[p.first], p.path[p.first], np.full(p.first.sum(), d, np.int64), p.start[p.first], p.windows[p.first]))
+                s, n = p.start[p.first], p.windows[p.first]
+                full = lambda x: np.full(len(s), x, np.int64)  # noqa: B023, E731
+                parts.append((p.anchor[p.first], p.path[p.first], full(d), full(r), s, n, np.array(digests(words, s, n + WINDOW - 1), np.int64)))
         if parts:
-            yield pa.RecordBatch.from_arrays([*(_long(np.concatenate(c)) for c in zip(*parts, strict=True))], names=["anchor", "path", "d", "s", "n"])
+            yield _columns(parts, ["anchor", "path", "d", "r", "s", "n", "v"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, text, starts of paths -> a row for each window of those paths."""
+    """d, r, text, starts of paths -> a row for each window of those paths."""
     for b in batches:
         parts = []
-        for d, text, want in zip(b.column(0).to_pylist(), _texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+        for d, r, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), b.column(3).to_pylist(), strict=True):
             words = words_of(text)
             if len(words) < WINDOW:
                 continue
@@ -140,9 +188,10 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             bit = np.concatenate([np.arange(x) for x in n])
             at = np.repeat(p.start[k], n) + bit
-            parts.append((np.repeat(p.anchor[k], n), np.repeat(p.path[k], n), np.full(len(at), d, np.int64), at, bit, mix(p.hashes(at, WINDOW))))
+            full = lambda x: np.full(len(at), x, np.int64)  # noqa: B023, E731
+            parts.append((np.repeat(p.anchor[k], n), np.repeat(p.path[k], n), full(d), full(r), at, bit, mix(p.hashes(at, WINDOW)), np.array(digests(words, at, np.full(len(at), WINDOW)), np.int64)))
         if parts:
-            yield pa.RecordBatch.from_arrays([*(_long(np.concatenate(c)) for c in zip(*parts, strict=True))], names=["anchor", "path", "d", "at", "bit", "h"])
+            yield _columns(parts, ["anchor", "path", "d", "r", "at", "bit", "h", "v"])
 
 
 def kept_words(words: list[bytes], marks: list[int] | None) -> list[bytes]:
@@ -179,37 +228,42 @@ def _emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Repeated paths: d, s, mask (windows from word s on that occurred before), source_d, source_s (where its first repeated window stands first)."""
+def numbered(docs: DataFrame, carry: list[str], id_col: str) -> DataFrame:
+    """doc, d (doc_id for the order), t and r, a number of each row that all passes read."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("t"))
-    paths = texts.mapInArrow(_emit_paths, "anchor long, path long, d long, s long, n long")
-    shared = cut(paths.groupBy("anchor").count().where("count > 1").select("anchor"))
+    rows = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("t"))
+    return cut(rows.withColumn("r", F.monotonically_increasing_id()))
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """Repeated paths of numbered rows: r, s, mask (windows from word s on that occurred before), source_r, source_s (where its first repeated window stands first)."""
+    shared = cut(rows.select("t").mapInArrow(_emit_anchors, "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"))
+    texts = rows.select("d", "r", "t")
+    paths = texts.mapInArrow(_emit_paths, "anchor long, path long, d long, r long, s long, n long, v long")
     found = cut(paths.join(shared, "anchor", "left_semi"))
-    classes = cut(found.groupBy("anchor", "path").agg(F.min(F.struct("d", "s")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")))
+    classes = cut(found.groupBy("anchor", "path").agg(F.min(F.struct("d", "r", "s", "v")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")))
     branching = classes.groupBy("anchor").count().where("count > 1").select("anchor")
-    border = classes.join(branching, "anchor", "left_semi").select("anchor", "path", "first.d", "first.s", "n")
-    want = cut(border.groupBy("d").agg(F.collect_list("s").alias("want")))
-    single = cut(texts.join(checked(want, "want", BROADCAST_BYTES), "d").select("d", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, at long, bit long, h long"))
-    first = single.groupBy("anchor", "h").agg(F.min(F.struct("d", "at")).alias("one"))
-    own = F.struct("d", "at")
-    masks = single.join(first, ["anchor", "h"]).where(F.col("one") < own).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"), F.min_by("one", "bit").alias("origin"))
+    border = classes.join(branching, "anchor", "left_semi").select("first.r", "first.s")
+    want = cut(border.groupBy("r").agg(F.collect_list("s").alias("want")))
+    single = cut(texts.join(checked(want, "want", BROADCAST_BYTES), "r").select("d", "r", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, r long, at long, bit long, h long, v long"))
+    first = single.groupBy("anchor", "h").agg(F.min(F.struct("d", "r", "at", "v")).alias("one"))
+    earlier = (F.struct("one.d", "one.r", "one.at") < F.struct("d", "r", "at")) & (F.col("one.v") == F.col("v"))
+    masks = single.join(first, ["anchor", "h"]).where(earlier).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"), F.min_by("one", "bit").alias("origin"))
     full = F.expr("shiftleft(1L, CAST(n AS INT)) - 1")
     known = cut(classes.select("anchor", "path", "first", "times").join(masks, ["anchor", "path"], "left").where("times > 1 OR part IS NOT NULL"))
     met = found.join(known, ["anchor", "path"])
-    own_class = F.col("first") == F.struct("d", "s")
-    source = F.when(own_class, F.struct(F.col("origin.d").alias("d"), F.col("origin.at").alias("s"))).otherwise(F.col("first"))
-    mask = F.when(own_class, F.coalesce("part", F.lit(0))).otherwise(full)
-    return met.select("d", "s", mask.alias("mask"), source["d"].alias("source_d"), source["s"].alias("source_s")).where("mask <> 0")
+    own_class = (F.col("first.r") == F.col("r")) & (F.col("first.s") == F.col("s"))
+    source = F.when(own_class, F.struct(F.col("origin.r").alias("r"), F.col("origin.at").alias("s"))).otherwise(F.struct("first.r", "first.s"))
+    # Another row's words are those at the source coordinates, or nothing is marked.
+    mask = F.when(own_class, F.coalesce("part", F.lit(0))).when(F.col("first.v") == F.col("v"), full).otherwise(0)
+    return met.select("r", "s", mask.alias("mask"), source["r"].alias("source_r"), source["s"].alias("source_s")).where("mask <> 0")
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """Per row: doc (carried columns), n_words, n_removed and kept, the words left, joined by blanks."""
-    carry = docs.columns if carry is None else carry
-    marks = repeats(docs, id_col).groupBy("d").agg(F.collect_list(F.expr(f"shiftleft(s, {SPAN}) | mask")).alias("marks"))
-    marks = cut(marks)
-    rows = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("t"))
-    joined = rows.join(checked(marks, "marks", BROADCAST_BYTES), "d", "left").select("doc", "t", "marks")
+    rows = numbered(docs, docs.columns if carry is None else carry, id_col)
+    marks = cut(repeats(rows).groupBy("r").agg(F.collect_list(F.expr(f"shiftleft(s, {SPAN}) | mask")).alias("marks")))
+    joined = rows.join(checked(marks, "marks", BROADCAST_BYTES), "r", "left").select("doc", "t", "marks")
     schema = joined.select("doc").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return joined.mapInArrow(_emit_kept, schema)
 
