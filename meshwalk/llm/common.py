@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshwalk.plans.durable import cut, shared_dir
 
-__all__ = ["alnum_words_of", "ascii_lower", "checked", "cut", "let", "shared_dir", "ship", "sized", "small_batches", "table", "text_of", "words_of"]
+__all__ = ["alnum_words_of", "ascii_lower", "checked", "cut", "let", "running", "shared_dir", "ship", "sized", "small_batches", "table", "text_of", "words_of"]
 
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,28 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, chunk: int = 256) -> Column:
+    """Sums of an array of longs up to and with each place.
+
+    An array can only grow in an aggregate by being copied, so the sums are taken in
+    chunks and the chunks' sums once more.
+    """
+    none = F.expr("CAST(array() AS array<bigint>)")
+
+    def sums(x: Column, base: Column) -> Column:
+        step = lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"] + v)).alias("out"))
+        return F.aggregate(x, F.struct(base.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    zero = F.lit(0).cast("long")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / chunk).cast("int")), lambda j: F.slice(values, j * chunk + 1, F.lit(chunk)))
+
+    def of(c: Column) -> Column:
+        ends = sums(F.transform(c, lambda x: F.aggregate(x, zero, lambda a, v: a + v)), zero)
+        return let(ends, lambda e: F.flatten(F.transform(c, lambda x, j: sums(x, F.coalesce(F.get(e, j - 1), zero)))))
+
+    return let(pieces, of)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

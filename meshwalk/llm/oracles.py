@@ -68,7 +68,7 @@ def secrets() -> str:
             f"SELECT rid, {k} AS kord, '{kind}' AS kind, '{ss.ROLE[kind]}' AS role, e - length(m) AS s, e FROM (SELECT rid, m, x, sum(length(m) + length(gap)) OVER (PARTITION BY rid ORDER BY i) AS e "
             f"FROM (SELECT rid, unnest(ms) AS m, unnest(xs) AS x, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM (SELECT rid, regexp_extract_all(t, '{quote(pattern)}', 0) AS ms, regexp_extract_all(t, '{quote(pattern)}', {group}) AS xs, string_split_regex(t, '{quote(pattern)}') AS gs FROM d))) WHERE {test}"
         )
-    gap = f"greatest(a.s - b.e, b.s - a.e) <= {ss.SCOPE}"
+    gap = f"greatest(a.s - b.e, b.s - a.e) BETWEEN 0 AND {ss.SCOPE}"
     strong = len(ss.STRONG)
     return f"""WITH {ROWS}, p AS MATERIALIZED ({' UNION ALL '.join(each)}),
         l AS (SELECT a.rid, a.kord, a.kind, a.s, a.e, a.role, bool_or(b.role = 'id') AS i, bool_or(b.role = 'secret') AS c FROM p a JOIN p b ON a.rid = b.rid AND a.role <> b.role AND {gap} WHERE a.kord >= {strong} GROUP BY ALL),

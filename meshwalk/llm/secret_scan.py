@@ -3,16 +3,18 @@
 Three strong kinds are reported wherever they stand: assignments of a password or
 token, access identifiers, long hexadecimal runs. Three weak kinds (user names,
 random-looking blobs, endpoints) are reported only when complementary parts lie
-in the same scope, that is at most ``scope`` characters away: an interval join of
-the parts on (row, cell), where each part is entered in the cells it touches.
+in the same scope, that is at most ``scope`` characters away and not overlapping, as
+one token isn't its own complement: an interval join of the parts on (row, cell),
+where each part is entered in the cells it touches.
 
 The join is linear: a part has a least length, so a cell holds a bounded number
 of parts whatever the document. Texts are read once and aren't shuffled; only
 spans are. Offsets count code points, end exclusive.
 
-Defined results: null is the empty text; a row without spans has empty strings;
-repeated rows and repeated doc_ids are scanned each on their own; other columns
-aren't looked at.
+Defined results: null is the empty text; a row without spans has empty strings; a
+text of any length is scanned as a whole, in about n ** 1.5 steps for n spans;
+repeated rows and repeated doc_ids are scanned each on their own; other columns,
+whatever their names, aren't looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, text_of
+from .common import cut, let, running, text_of
 
 #: kind, pattern, group whose length is tested, its least length. Order is that of ties.
 STRONG = [
@@ -46,8 +48,9 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
 
     def placed(m: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        step = lambda a, w: F.struct((a["at"] + w["gap"] + w["len"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + w["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kord"), (a["at"] + w["gap"] + w["len"]).alias("end")))).alias("out"))
-        walked = let(gaps, lambda g: F.aggregate(F.transform(m, lambda x, i: F.struct(F.length(F.get(g, i)).cast("long").alias("gap"), F.length(x).cast("long").alias("len"))), F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda a: a["out"]))
+        ends = let(gaps, lambda g: running(F.transform(m, lambda x, i: (F.length(F.get(g, i)) + F.length(x)).cast("long"))))
+        part = lambda x, end: F.struct((end - F.length(x)).alias("start"), F.lit(KINDS.index(kind)).alias("kord"), end.alias("end"))
+        walked = F.zip_with(m, ends, part)
         ok = lambda x, t: F.length(t) >= least
         if kind == "blob":  # letters of both cases and a digit, or it is a plain word
             ok = lambda x, t: t.rlike("[0-9]") & t.rlike("[A-Z]") & t.rlike("[a-z]")
@@ -70,7 +73,7 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = p.where(F.col("part.kord") >= len(STRONG)).select("rid", "part", "role", reach(F.col("part.start") - scope, F.col("part.end") + scope).alias("cell"))
     near = p.select(F.col("rid").alias("r2"), F.col("part").alias("part2"), F.col("role").alias("role2"), reach(F.col("part.start"), F.col("part.end")).alias("cell2"))
     gap = F.greatest(F.col("part.start") - F.col("part2.end"), F.col("part2.start") - F.col("part.end"))
-    met = weak.join(near, (F.col("rid") == F.col("r2")) & (F.col("cell") == F.col("cell2")) & (F.col("role") != F.col("role2")) & (gap <= scope))
+    met = weak.join(near, (F.col("rid") == F.col("r2")) & (F.col("cell") == F.col("cell2")) & (F.col("role") != F.col("role2")) & gap.between(0, scope))
     by = met.groupBy("rid", "part", "role").agg(F.bool_or(F.col("role2") == "id").alias("has_id"), F.bool_or(F.col("role2") == "secret").alias("has_secret"))
     full = ((F.col("role") == "id") & F.col("has_secret")) | ((F.col("role") == "secret") & F.col("has_id")) | ((F.col("role") == "endpoint") & F.col("has_id") & F.col("has_secret"))
     return by.where(full).select("rid", "part")
