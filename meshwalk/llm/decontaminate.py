@@ -3,14 +3,18 @@
 The benchmark's windows (``n`` consecutive normalised words; a shorter item is one
 window) are hashed. While their number is within ``MAX_SET`` the hashes are a set
 in the scan itself: each document's windows are tested where they are read, and
-only the hits leave the row. Beyond that the windows' hashes go through a shuffle
-join. Either way a hit is verified by the words themselves, so a hash collision
-never counts.
+only the hits leave the row. Larger sets are a table that the windows' hashes are
+joined with: broadcast while its counted rows are within the bound in bytes, so that
+the windows are still tested where they are read, else by a shuffle. Every way a hit
+is verified by the words themselves, so a hash collision never counts, and the result
+is the same.
 
 Defined results: null or empty texts have no words and no hits; an item without
 words has no window; equal windows of several items count for each of them;
 repeated rows are judged each on their own; a benchmark without windows leaves
-every document clean.
+every document clean; a text of any length is scanned as a whole, in time linear in
+it but for sorting its hits; other columns, whatever their names, come along; empty
+tables give empty tables.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words_of, ascii_lower, cut, let, text_of
+from .common import alnum_words_of, checked, cut, let, sized, text_of
 
 N = 10
 #: Most benchmark windows that travel inside the plan (8 bytes each).
@@ -78,18 +82,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: list
 
 
 def _hits_by_join(base: DataFrame, grams: DataFrame, n: int) -> DataFrame:
-    """For benchmarks of any size: hashes of all windows meet the benchmark's in a join."""
-    rows = cut(base.select(F.monotonically_increasing_id().alias("rid"), "doc", alnum_words_of(F.col("t")).alias("w")))
+    """For benchmarks of any size: hashes of all windows meet the benchmark's in a join; only the hits' texts are read again."""
+    rows = cut(base.select(F.monotonically_increasing_id().alias("rid"), "doc", "t", F.size(alnum_words_of(F.col("t"))).cast("long").alias("n_words")), codec="zstd")
     lens = [r["len"] for r in grams.select("len").distinct().collect()]  # n values at most
-    keys = grams.select("len", "h").distinct()
+    keys = sized(grams.select("len", "h").distinct())
     none = F.expr("CAST(array() AS array<struct<h:bigint,len:int,at:int>>)")
-    placed = lambda k: F.transform(grams_at(F.col("w"), k), lambda h, i: F.struct(h.alias("h"), F.lit(k).alias("len"), i.alias("at")))
-    each = F.concat(none, *(F.coalesce(placed(k), none) for k in sorted(lens)))
+    placed = lambda w, k: F.transform(grams_at(w, k), lambda h, i: F.struct(h.alias("h"), F.lit(k).alias("len"), i.alias("at")))
+    each = let(alnum_words_of(F.col("t")), lambda w: F.concat(none, *(F.coalesce(placed(w, k), none) for k in sorted(lens))))
     met = rows.select("rid", F.explode(each).alias("g")).select("rid", "g.*").join(keys, ["len", "h"], "left_semi")
-    at = met.groupBy("rid").agg(F.collect_list(F.struct("at", "len")).alias("found"))
-    text = lambda x: F.array_join(F.slice("w", x["at"] + 1, x["len"]), " ")
-    hits = F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), text(x).alias("gram")))
-    return cut(rows.join(at, "rid", "left").select("rid", "doc", F.size("w").cast("long").alias("n_words"), F.coalesce(hits, F.expr(f"CAST(array() AS {HIT})")).alias("hits")))
+    at = cut(met.groupBy("rid").agg(F.collect_list(F.struct("at", "len")).alias("found")))
+    text = lambda w, x: F.array_join(F.slice(w, x["at"] + 1, x["len"]), " ")
+    hits = let(alnum_words_of(F.col("t")), lambda w: F.transform("found", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), text(w, x).alias("gram"))))
+    hit = cut(rows.join(checked(at, "found"), "rid").select("rid", hits.alias("hits")))
+    return rows.select("rid", "doc", "n_words").join(hit, "rid", "left").withColumn("hits", F.coalesce("hits", F.expr(f"CAST(array() AS {HIT})")))
 
 
 def covered(spans: Column) -> Column:
@@ -106,6 +111,12 @@ def remove_spans(text: Column, spans: Column) -> Column:
     """``text`` without the words at the covered positions; what separates words stays."""
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same runs, before lower-casing
     found, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
-    rebuilt = let(found, lambda w: let(gaps, lambda g: let(covered(spans), lambda c: F.array_join(F.concat(
-        F.transform(w, lambda x, i: F.concat(F.get(g, i), F.when(F.array_contains(c, i), "").otherwise(x))), F.array(F.get(g, F.size(w)))), ""))))
-    return F.when(F.size(spans) == 0, text).otherwise(rebuilt)
+
+    def rebuilt(w: Column, g: Column) -> Column:
+        gone = covered(spans)
+        flag = lambda at, on: F.transform(at, lambda i: F.struct(i.cast("int").alias("i"), F.lit(on).alias("kept")))
+        # By position: whether each word stays.
+        flags = let(gone, lambda c: F.array_sort(F.concat(flag(c, False), flag(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), c), True))))
+        return F.concat(F.array_join(F.zip_with(F.zip_with(F.slice(g, F.lit(1), F.size(w)), w, lambda a, b: F.struct(a.alias("gap"), b.alias("word"))), flags, lambda x, f: F.concat(x["gap"], F.when(f["kept"], x["word"]).otherwise(""))), ""), F.get(g, F.size(w)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(found, lambda w: let(gaps, lambda g: rebuilt(w, g))))
