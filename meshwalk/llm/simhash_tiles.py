@@ -7,9 +7,10 @@ exclusive-or and bit counts.
 
 Tiles: of ``blocks`` runs of bits, two fingerprints within ``radius`` agree on
 ``blocks - radius`` at least, so a tile holds the fingerprints that agree on one
-such choice and no link is missed. More blocks make more, smaller tiles: 5 (13
-shared bits) suits some ten million texts, 8 (32 shared bits, 70 choices) some ten
-billion. A tile with over ``tile`` rows is split by population count and then by a
+such choice and no link is missed. More blocks make more, smaller tiles, so their
+number is chosen from the counted distinct fingerprints: the least for which a tile
+of random ones holds ``GOAL`` rows at most (5 blocks, 13 shared bits and 5 choices up
+to some seven million, 6, 21 and 15 up to some billions, 7, 27 and 35 beyond). A tile with over ``tile`` rows is split by population count and then by a
 hash into sub-tiles, and only pairs of sub-tiles whose population counts differ by
 ``radius`` at most are compared, each pair in a task's run of its own: the work
 per run is bounded whatever the skew.
@@ -18,7 +19,9 @@ A run reports a spanning forest, at most one link a row, never all pairs; the
 components of those links are the classes.
 
 Defined results: null or empty texts have fingerprint 0; repeated rows are one
-class; equal doc_ids are allowed, a null doc_id is larger than any other.
+class; equal doc_ids are allowed, a null doc_id is larger than any other; a text of
+any length is read as a whole, in bounded runs of shingles; other columns, whatever
+their names, come along; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ from pyspark.sql import functions as F
 
 from meshwalk.operators.components import connected_components
 
-from .common import cut, ship, small_batches
+from .common import cut, ship, sized, small_batches
 
 ship(__name__)
 
-SHINGLE, SEED, RADIUS, BLOCKS, TILE = 4, 42, 4, 5, 4096
+SHINGLE, SEED, RADIUS, TILE, GOAL = 4, 42, 4, 4096, 1024
 _PART = 65_536
 
 
@@ -85,6 +88,11 @@ def choices(radius: int, blocks: int) -> list[int]:
     return [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
 
 
+def blocks_for(count: int, radius: int, goal: int = GOAL) -> int:
+    """The least number of blocks for which count / 2 ** (shared bits) is within the goal."""
+    return next(b for b in range(radius + 1, 65) if b == 64 or count <= goal * 2 ** (64 * (b - radius) // b))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -193,16 +201,16 @@ def _compare(radius: int):
     return of
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """Links (src, dst) between distinct fingerprints ``fp`` that connect all that lie within the radius."""
     fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
-    each = runs(fps, radius, blocks, tile)
+    each = runs(fps, radius, blocks_for(fps.count(), radius) if blocks is None else blocks, tile)
     keys = ["choice", "key", "a", "b"]
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return each.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(radius), "src long, dst long")
 
 
-def classes(rows: DataFrame, id_col: str, radius: int, blocks: int, tile: int) -> DataFrame:
+def classes(rows: DataFrame, id_col: str, radius: int, blocks: int | None, tile: int) -> DataFrame:
     """(fp, best): for each fingerprint, the struct (no, id, rid) of its class's first row."""
     first = F.min(F.struct(F.col("doc")[id_col].isNull().alias("no"), F.col("doc")[id_col].alias("id"), F.col("rid").alias("rid")))
     fps = cut(rows.groupBy("fp").agg(first.alias("first")))
@@ -215,14 +223,14 @@ def classes(rows: DataFrame, id_col: str, radius: int, blocks: int, tile: int) -
     return fps.join(found, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
 
 
-def near_duplicates(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """Per row: rid, doc (carried columns), fp, component_id and keeper (rid of the one row to keep)."""
     rows = fingerprints(docs, docs.columns if carry is None else carry)
     every = classes(rows, id_col, radius, blocks, tile)
-    return rows.join(every, "fp").select("rid", "doc", "fp", F.col("best.id").alias("component_id"), F.col("best.rid").alias("keeper"))
+    return rows.join(sized(every, 48), "fp").select("rid", "doc", "fp", F.col("best.id").alias("component_id"), F.col("best.rid").alias("keeper"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """docs with one row of each class, that of the smallest id. Texts are dealt by row number, so copies don't meet in a task."""
     rows = fingerprints(docs, docs.columns)
     kept = classes(rows, id_col, radius, blocks, tile).select(F.col("best.rid").alias("rid")).distinct()
