@@ -13,11 +13,13 @@ most ``cuts`` times. What is open at a task's end is laid end to end and cut at
 the capacity, so a task leaves one padded sequence at most.
 
 Ids come from the tokenizer file given. A byte-level BPE file whose merges are in
-the order of their ids is run by a faster engine on the same vocabulary, which
-gives the same ids; any other file by the tokenizers library.
+the order of their ids, without flags on its added tokens, is run by a faster engine
+on the same vocabulary, which gives the same ids; any other file by the tokenizers library.
 
-Defined results: null or empty text is the end id alone; repeated rows are packed
-each on its own; a null doc_id stays null; an empty table gives no pieces. A task
+Defined results: null or empty text is the end id alone; a text of any length is
+packed as a whole; repeated rows are packed each on its own; a null doc_id stays null;
+other columns, whatever their names, aren't looked at; an empty table gives no
+pieces. A task
 that is run again makes the same sequences, whose ids carry the partition number.
 """
 
@@ -56,7 +58,8 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
     vocab, special = model.get("vocab", {}), {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
     ids = [vocab.get(a + b) for a, b in merges] if model.get("type") == "BPE" else []
-    plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    flagged = any(x.get(k) for x in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    plain = not flagged and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
     if plain and ids and None not in ids and all(x < y for x, y in zip(ids, ids[1:], strict=False)):
         import tiktoken
 
