@@ -9,14 +9,20 @@ over the cells present, so a pair such as insult and group mention has a weight
 its own through its factors, which additive weights can't give.
 
 It is fitted on the driver on at most ``MAX_FIT`` labelled rows, those with the
-smallest hashes of doc_id, which is the documented bound; cells that don't tell
-the classes apart there are left out (``MAX_CELLS`` stay). Every whole text is then
-scored where it is read, without a shuffle; the model is a few hundred kilobytes.
+smallest hashes of doc_id and one of each doc_id, which is the documented bound. All
+cells that stand in ``LEAST_DOCS`` of them take part, whether they tell the classes
+apart on their own or not, as a pair may where neither of its terms does. Rows are
+sparse; weights and factors that the data don't hold up are drawn to 0 (proximal
+steps, a cell's factors as a group), and only others are kept. Weights come first,
+then the factors beside them. Every whole text is then scored where it is read,
+without a shuffle; the model is a few hundred kilobytes.
 
 Defined results: a null or empty text, or one without known terms, has the score
 of the bias alone; null labels are not learned from; with one class or no labels
-at all, the score is the share of label 1 (a half without labels); repeated rows
-are scored each on its own. Other columns are not looked at.
+at all, the score is the share of label 1 (a half without labels); a text of any length
+is read as a whole; repeated rows are scored each on its own, and of rows that share a
+labelled doc_id the one of the least cells is learned from; an empty table gives an
+empty table. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -34,8 +40,9 @@ from .common import ship, small_batches
 ship(__name__)
 
 BITS, PREFIX, FACTORS = 20, 5, 6
-MAX_FIT, MAX_CELLS, LEAST_Z, LEAST_DOCS = 12_000, 3_000, 3.5, 3
-EPOCHS, BATCH, RATE, DECAY = 20, 256, 0.02, 1e-4
+MAX_FIT, LEAST_DOCS = 12_000, 3
+#: Rounds of weights alone and of both, batches a round, step; pulls to 0 of weights and factors, to be divided by the root of the rows.
+FIRST, ROUNDS, BATCHES, RATE, PULL, PULL_FACTORS, SPREAD = 20, 35, 12, 0.7, 0.02, 0.5, 0.02
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -55,7 +62,7 @@ def held_out(doc_id: Column) -> Column:
 def _emit_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(0).cast(pa.large_binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([cells(t).tobytes() for t in texts], pa.binary()), b.column(1)], names=["cells", "y"])
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([cells(t).tobytes() for t in texts], pa.binary()), b.column(2)], names=["lid", "cells", "y"])
 
 
 class Machine:
@@ -74,47 +81,72 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def choose(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Cells whose share differs between the classes by LEAST_Z standard errors."""
-    count = lambda part: np.bincount(np.concatenate([np.empty(0, np.int32), *part]), minlength=1 << BITS)
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    c1, c0 = count([r for r, t in zip(rows, y, strict=True) if t]), count([r for r, t in zip(rows, y, strict=True) if not t])
-    share = (c1 + c0) / (n1 + n0)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    z[(c1 + c0 < LEAST_DOCS) | (z < LEAST_Z)] = 0
-    best = np.lexsort((np.arange(len(z)), -z))[:MAX_CELLS]
-    return np.sort(best[z[best] > 0])
+class Rows:
+    """Sparse rows over the given cells: for each, a run of places in ``ids``."""
+
+    def __init__(self, rows: list[np.ndarray], ids: np.ndarray):
+        every = np.concatenate([np.empty(0, np.int32), *rows])
+        at = np.minimum(np.searchsorted(ids, every), len(ids) - 1)
+        known = ids[at] == every
+        self.flat = at[known]
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[known]
+        self.count = np.bincount(row, minlength=len(rows))
+        self.start = np.cumsum(self.count) - self.count
+
+    def of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of some rows' cells, which of the rows each belongs to, and where its run starts."""
+        n = self.count[some]
+        begin = np.cumsum(n) - n
+        return self.flat[np.repeat(self.start[some] - begin, n) + np.arange(n.sum())], np.repeat(np.arange(len(some)), n), begin
+
+
+def frequent(rows: list[np.ndarray]) -> np.ndarray:
+    """Cells of LEAST_DOCS rows or more."""
+    return np.flatnonzero(np.bincount(np.concatenate([np.empty(0, np.int32), *rows]), minlength=1 << BITS) >= LEAST_DOCS)
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
-    """Adam on the logistic loss; the same rows give the same machine."""
+    """Proximal AdaGrad on the logistic loss; the same rows give the same machine."""
     share = float(y.mean()) if len(y) else 0.5
-    bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
-    ids = choose(rows, y) if 0 < share < 1 and len(y) else np.empty(0, np.int64)
+    b = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
+    ids = frequent(rows) if 0 < share < 1 else np.empty(0, np.int64)
     if not len(ids):
-        return Machine(ids, np.zeros(0), np.zeros((0, FACTORS)), bias)
-    x = np.zeros((len(rows), len(ids)), np.uint8)
-    for i, r in enumerate(rows):
-        at = np.minimum(np.searchsorted(ids, r), len(ids) - 1)
-        x[i, at[ids[at] == r]] = 1
-    rng = np.random.default_rng(seed)
-    p = [np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), FACTORS)), np.array([bias])]
-    m, s, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(EPOCHS):
+        return Machine(ids, np.zeros(0), np.zeros((0, FACTORS)), b)
+    x, rng = Rows(rows, ids), np.random.default_rng(seed)
+    pull, pull_factors = PULL / np.sqrt(len(y)), PULL_FACTORS / np.sqrt(len(y))
+    w, v = np.zeros(len(ids)), np.zeros((len(ids), FACTORS))
+    seen_w, seen_v, seen_b = np.full(len(ids), 1e-8), np.full(len(ids), 1e-8), 1e-8
+    size = max(64, -(-len(y) // BATCHES))
+    for turn in range(ROUNDS):
+        pairs = turn >= FIRST
+        if turn == FIRST:
+            v = rng.normal(0, SPREAD, v.shape)
         order = rng.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            rows_at = order[at : at + BATCH]
-            xb = x[rows_at].astype(np.float64)
-            s1 = xb @ p[1]
-            z = p[2][0] + xb @ p[0] + 0.5 * ((s1 * s1).sum(axis=1) - xb @ (p[1] * p[1]).sum(axis=1))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows_at]) / len(rows_at)
-            g = [xb.T @ e + DECAY * p[0], xb.T @ (e[:, None] * s1) - (xb.T @ e)[:, None] * p[1] + DECAY * p[1], np.array([e.sum()])]
-            t += 1
-            for k in range(3):
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-                p[k] = p[k] - RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
-    return Machine(ids, p[0], p[1], float(p[2][0]))
+        for at in range(0, len(y), size):
+            some = order[at : at + size]
+            cell, row, begin = x.of(some)
+            add = lambda values, n=len(some), row=row: np.bincount(row, values, n)
+            z = b + add(w[cell])
+            if pairs:
+                vc = v[cell]
+                s1 = np.stack([add(vc[:, f]) for f in range(FACTORS)], axis=1)
+                z = z + 0.5 * ((s1 * s1).sum(axis=1) - add((vc * vc).sum(axis=1)))
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
+            gw = np.bincount(cell, e[row], len(ids))
+            seen_w += gw * gw
+            step = RATE / np.sqrt(seen_w)
+            w = w - step * gw
+            w = np.sign(w) * np.maximum(np.abs(w) - step * pull, 0)
+            if pairs:
+                gv = np.stack([np.bincount(cell, e[row] * s1[row, f], len(ids)) for f in range(FACTORS)], axis=1) - gw[:, None] * v
+                seen_v += (gv * gv).mean(axis=1)
+                step = RATE / np.sqrt(seen_v)
+                v = v - step[:, None] * gv
+                v *= np.maximum(1 - step * pull_factors / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12), 0)[:, None]
+            seen_b += e.sum() ** 2
+            b -= RATE * e.sum() / np.sqrt(seen_b)
+    held = (w != 0) | v.any(axis=1)
+    return Machine(ids[held], w[held], v[held], float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine:
@@ -123,8 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("lid"), "lid", "y").limit(max_fit)
     texts = docs.select(F.col("doc_id").alias("lid"), F.col("text").cast("string").alias("text"))
-    met = texts.join(F.broadcast(sample), "lid").select("text", "y")
-    got = met.mapInArrow(_emit_cells, "cells binary, y int").collect()
+    met = texts.join(F.broadcast(sample), "lid").select("text", "lid", "y")
+    schema = f"lid {met.schema['lid'].dataType.simpleString()}, cells binary, y int"
+    got = [r["one"] for r in met.mapInArrow(_emit_cells, schema).groupBy("lid").agg(F.min(F.struct("cells", "y")).alias("one")).collect()]  # at most max_fit
     got.sort(key=lambda r: (bytes(r["cells"]), r["y"]))  # whatever the order of tasks
     return fit([np.frombuffer(r["cells"], np.int32) for r in got], np.array([r["y"] for r in got], np.float64))
 
