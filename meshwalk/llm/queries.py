@@ -31,9 +31,9 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = ct.train(docs, table(spark, sf_dir, "labels"), held_out=tf.held_out)
-    return ct.digest(ct.score(docs, model, ["doc_id"]), tf.held_out)
+    rows = ct.features(table(spark, sf_dir, "documents"), ["doc_id"])
+    model = ct.train(rows, table(spark, sf_dir, "labels"), held_out=tf.held_out)
+    return ct.digest(ct.score(rows, model), tf.held_out)
 
 
 def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
