@@ -1,21 +1,32 @@
 """License scan: phrase places and an exact set-similarity join (operator 10).
 
-Base: the places where a label's phrase stands in the normalised words. Method:
-every text block (a line) is a set of words; a template is found in it when the
-block holds at least ``threshold`` of the template's words (containment). The join
-is the exact prefix-filter kind: words are ordered by their frequency over the
-whole corpus, rarest first; a block that meets the threshold must share one of a
-template's first ``size - need + 1`` words, so only those are looked up. The
-length filter (a block has ``need`` words at least) and the positional filter (from
-the place of the first shared word on, enough template words must be left) go
-before the words are counted.
-
-Templates are a short list of our own, so they are literals of the scan; their
-number and words are bounded by ``MAX_TEMPLATE_WORDS``. Texts are read twice
-(frequencies, then matches) and never shuffled.
+Base: the places where a label's phrase stands in the normalised words. Method: a
+template is found in a text block that holds at least ``threshold`` of the template's
+distinct words (containment). Blocks are windows of words, whatever the lines, so a
+notice that is wrapped over lines is found too: for templates of up to c words, c a
+power of two, a block is 2 c words from every c-th word on, so any run of c words lies
+within a block.
+
+The join is the exact prefix-filter kind. Words of templates are ordered by the number
+of documents that hold them, rarest first, over the whole corpus. A block that meets
+the threshold shares ``need`` words with the template, so it holds one of the first
+``size - need + 1`` (prefix filter; blocks without any such word aren't made at all); it
+has ``need`` template words or more (length filter, and the classes of c are one of
+both sides); and from a pair's first shared word on, both have enough words left for
+the rest (positional filter). Only what passes is counted, and every pair that meets
+the threshold passes.
+
+Templates are a table of any size: its words are joined with those of the texts while
+they are read, broadcast if the counted words are within a bound, and the prefix words,
+while there are ``MAX_SET`` at most, are a set in the scan that makes the blocks; beyond,
+blocks are found by a join. Texts are read twice (frequencies, then blocks) and aren't
+shuffled unless the prefix words are too many for the scan and the places too many to send.
 
 Defined results: null is the empty text; without words all counts are 0, places
-null, labels empty and the score 0; repeated rows are scanned each on their own.
+null, labels empty and the score 0; a text of any length is scanned as a whole; repeated
+rows are scanned each on their own; templates without words and null labels aren't
+sought; other columns, whatever their names, come along; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -25,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words_of, let, text_of
+from .common import alnum_words_of, checked, cut, let, sized, text_of
 
 #: Phrase and label.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -40,30 +51,47 @@ TEMPLATES = {
     "apache-2-grant": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike license",
 }
-THRESHOLD, MAX_TEMPLATE_WORDS = 0.75, 2_000
+THRESHOLD, LEAST_BLOCK = 0.75, 4
+#: Most prefix words that travel inside the plan.
+MAX_SET = 20_000
+FILTERS = ("prefix", "length", "position")
+BLOCKS = "array<struct<c:int,k:int,ws:array<string>>>"
 
 
-def vocabulary(templates: dict[str, str]) -> list[str]:
-    words = sorted({w for t in templates.values() for w in t.split()})
-    if len(words) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {len(words)} words; {MAX_TEMPLATE_WORDS} are allowed")
-    return words
+def size_class(n_words: int) -> int:
+    """The power of two that a template of so many words fits in."""
+    return max(LEAST_BLOCK, 1 << (n_words - 1).bit_length())
 
 
-def document_frequencies(docs: DataFrame, vocab: list[str]) -> dict[str, int]:
-    """In how many documents each template word stands: one row per word reaches the driver."""
-    held = F.array_intersect(alnum_words_of(text_of()), F.lit(vocab))
-    rows = docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()
-    return {r["w"]: r["count"] for r in rows}
+def needed(size: int, threshold: float) -> int:
+    return math.ceil(threshold * size - 1e-9)
 
 
-def ordered(templates: dict[str, str], freq: dict[str, int], threshold: float) -> list[tuple[str, list[str], int]]:
-    """Label, distinct words with the globally rarest first, and how many a block must hold."""
-    out = []
-    for label, text in sorted(templates.items()):
-        words = sorted(set(text.split()), key=lambda w: (freq.get(w, 0), w))
-        out.append((label, words, math.ceil(threshold * len(words) - 1e-9)))
-    return out
+def template_words(templates: DataFrame) -> DataFrame:
+    """label, c, word: each template's distinct words."""
+    w = templates.where("label IS NOT NULL").select("label", alnum_words_of(text_of()).alias("w")).where(F.size("w") > 0)
+    c = F.greatest(F.lit(LEAST_BLOCK), F.pow(F.lit(2), F.ceil(F.log2(F.size("w").cast("double")))).cast("int"))
+    return w.select("label", c.alias("c"), F.explode(F.array_distinct("w")).alias("word"))
+
+
+def with_frequency(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """(word, freq) of all template words: in how many documents each stands."""
+    vocabulary = sized(words.select("word").distinct(), 48)
+    held = docs.select(F.explode(F.array_distinct(alnum_words_of(text_of()))).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("freq"))
+    return cut(vocabulary.join(held, "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq")))
+
+
+def template_table(words: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
+    """label, c, ws (words, rarest first), size, need. Lists are of one template's words."""
+    order = F.array_sort(F.collect_list(F.struct("freq", "word")))
+    t = words.join(freq, "word").groupBy("label", "c").agg(F.transform(order, lambda x: x["word"]).alias("ws"))
+    return cut(t.withColumn("size", F.size("ws")).withColumn("need", F.ceil(threshold * F.col("size") - 1e-9).cast("int")))
+
+
+def prefix_index(table: DataFrame, use: tuple[str, ...] = FILTERS) -> DataFrame:
+    """label, c, size, need, pt, word: a row for each word by which a template is looked up."""
+    words = F.expr("slice(ws, 1, size - need + 1)") if "prefix" in use else F.col("ws")
+    return table.select("label", "c", "size", "need", F.posexplode(words).alias("pt", "word"))
 
 
 def phrase_places(words: Column, joined: Column, phrase: str) -> Column:
@@ -85,39 +113,94 @@ def with_label(starts: Column, label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.cast("int").alias("start"), F.lit(label).alias("label")))
 
 
-def containment(block: Column, words: list[str], need: int) -> Column:
-    """Share of the template's words in the block, null below the threshold. block: distinct words."""
-    prefix = words[: len(words) - need + 1]
-    first = F.least(*(F.when(F.array_contains(block, w), F.lit(i)) for i, w in enumerate(prefix)), F.lit(None).cast("int")) if len(prefix) > 1 else F.when(F.array_contains(block, prefix[0]), F.lit(0))
-    shared = F.size(F.array_intersect(block, F.lit(words)))
-    enough = (F.size(block) >= need) & (F.lit(len(words)) - first >= need)
-    return F.when(enough, F.when(shared >= need, shared / F.lit(float(len(words)))))
+def base_places(words: Column) -> Column:
+    none = F.expr("CAST(array() AS array<struct<start:int,label:string>>)")
+    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return let(joined, lambda j: F.concat(none, *(with_label(phrase_places(words, j, p), k) for p, k in PHRASES)))
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """Per row: ``doc``, n_words, places (array of struct start, label) and found (array of label, score, block)."""
-    templates = TEMPLATES if templates is None else templates
-    vocab = vocabulary(templates)
-    order = ordered(templates, document_frequencies(docs, vocab), threshold)
-    carry = [c for c in docs.columns if c.lower() != "text"] if carry is None else carry
-    prefixes = sorted({w for _, ws, need in order for w in ws[: len(ws) - need + 1]})
-    least = min(need for _, _, need in order)
-    none_p, none_f = F.expr("CAST(array() AS array<struct<start:int,label:string>>)"), F.expr("CAST(array() AS array<struct<label:string,score:double,block:int>>)")
+def block_of(words: Column, c: Column, k: Column) -> Column:
+    return F.struct(c.cast("int").alias("c"), k.cast("int").alias("k"), F.array_distinct(F.slice(words, k * c + 1, c * 2)).alias("ws"))
+
+
+def blocks_in_scan(words: Column, sought: dict[int, list[str]]) -> Column:
+    """Blocks with a word of their class's set."""
+    none = F.expr(f"CAST(array() AS {BLOCKS})")
+
+    def of(c: int, some: list[str]) -> Column:
+        at = F.filter(F.transform(words, lambda x, i: F.when(x.isin(some), i)), lambda i: i.isNotNull())
+        ks = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / c), F.greatest(F.floor(i / c) - 1, F.lit(0).cast("long"))))))
+        return F.transform(ks, lambda k: block_of(words, F.lit(c), k.cast("int")))
+
+    every = sorted({w for some in sought.values() for w in some})
+    return F.when(F.exists(words, lambda x: x.isin(every)), F.concat(none, *(of(c, some) for c, some in sorted(sought.items())))).otherwise(none) if every else none
 
-    def bases(w: Column) -> Column:
-        joined = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-        return let(joined, lambda j: F.concat(none_p, *(with_label(phrase_places(w, j, p), k) for p, k in PHRASES)))
 
-    def of_block(line: Column, number: Column) -> Column:
-        hit = lambda b: F.filter(F.array(*(F.struct(F.lit(k).alias("label"), containment(b, ws, need).alias("score"), number.alias("block")) for k, ws, need in order)), lambda x: x["score"].isNotNull())
-        return let(F.array_distinct(alnum_words_of(line)), lambda b: F.when((F.size(b) >= least) & F.arrays_overlap(b, F.lit(prefixes)), hit(b)).otherwise(none_f))
+def blocks_by_join(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """(rid, c, k, ws), for prefix words of any number. texts: rid, t."""
+    keys = sized(index.select("c", "word").distinct(), 48)
+    met = texts.select("rid", F.posexplode(alnum_words_of(F.col("t"))).alias("at", "word")).join(keys, "word")
+    k = F.floor(F.col("at") / F.col("c")).cast("int")
+    ks = met.select("rid", "c", F.explode(F.array(k, F.greatest(k - 1, F.lit(0)))).alias("k")).distinct()
+    want = cut(ks.groupBy("rid").agg(F.collect_list(F.struct("c", "k")).alias("want")))
+    found = texts.join(checked(want, "want"), "rid").select("rid", let(alnum_words_of(F.col("t")), lambda w: F.transform("want", lambda x: block_of(w, x["c"], x["k"]))).alias("blocks"))
+    return found.select("rid", F.inline("blocks"))
 
-    def blocks(w: Column, text: Column) -> Column:
-        lines = lambda: F.flatten(F.transform(F.split(text, "\n"), of_block))
-        return F.when(F.arrays_overlap(w, F.lit(prefixes)), lines()).otherwise(none_f)
 
-    out = let(alnum_words_of(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), bases(w).alias("places"), blocks(w, F.col("t")).alias("found")))
-    return docs.select(F.struct(*carry).alias("doc"), text_of().alias("t")).select("doc", out.alias("x")).select("doc", "x.*")
+def ordered_blocks(blocks: DataFrame, freq: DataFrame) -> DataFrame:
+    """rid, c, k, bw: the template words of each block, rarest first."""
+    held = blocks.select("rid", "c", "k", F.explode("ws").alias("word")).join(sized(freq, 56), "word")
+    order = F.array_sort(F.collect_list(F.struct("freq", "word")))
+    return cut(held.groupBy("rid", "c", "k").agg(F.transform(order, lambda x: x["word"]).alias("bw")))
+
+
+def candidates(blocks: DataFrame, table: DataFrame, use: tuple[str, ...] = FILTERS) -> DataFrame:
+    """(rid, c, k, label) pairs that the filters let pass; all that meet the threshold are among them."""
+    probes = blocks.select("rid", "c", "k", F.size("bw").alias("m"), F.posexplode("bw").alias("pb", "word"))
+    met = probes.join(sized(prefix_index(table, use), 80), ["c", "word"])
+    if "length" in use:
+        met = met.where("m >= need")
+    if "position" in use:
+        met = met.where("1 + least(size - 1 - pt, m - 1 - pb) >= need")
+    return met.select("rid", "c", "k", "label").distinct()
+
+
+def matches(blocks: DataFrame, table: DataFrame, use: tuple[str, ...] = FILTERS) -> DataFrame:
+    """rid, label, score, c, k of every block and template that meet the threshold."""
+    met = candidates(blocks, table, use).join(blocks, ["rid", "c", "k"]).join(table.select("label", "ws", "size", "need"), "label")
+    met = met.withColumn("shared", F.size(F.array_intersect("bw", "ws"))).where("shared >= need")
+    return met.select("rid", "label", (F.col("shared") / F.col("size")).alias("score"), "c", "k")
+
+
+def template_frame(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    return docs.sparkSession.createDataFrame(sorted((TEMPLATES if templates is None else templates).items()), "label string, text string")
+
+
+def license_scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, carry: list[str] | None = None, max_set: int = MAX_SET) -> DataFrame:
+    """Per row: ``doc``, n_words, places (array of struct start, label) and found (array of label, score, c, k).
+
+    ``templates``: a table of label and text; the labels are distinct.
+    """
+    carry = [c for c in docs.columns if c.lower() != "text"] if carry is None else carry
+    words = cut(template_words(template_frame(docs) if templates is None else templates))
+    freq = with_frequency(words, docs)
+    table = template_table(words, freq, threshold)
+    index = cut(prefix_index(table))
+    few = index.select("c", "word").distinct().limit(max_set + 1).collect()
+    sought: dict[int, list[str]] = {}
+    for r in few if len(few) <= max_set else []:
+        sought.setdefault(r["c"], []).append(r["word"])
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*carry).alias("doc"), text_of().alias("t"))
+    of = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), base_places(w).alias("places"), blocks_in_scan(w, sought).alias("blocks"))
+    if len(few) <= max_set:
+        seen = cut(rows.select("rid", "doc", let(alnum_words_of(F.col("t")), of).alias("x")).select("rid", "doc", "x.*"))
+        blocks = seen.select("rid", F.inline("blocks"))
+    else:
+        seen = cut(rows.select("rid", "doc", "t", let(alnum_words_of(F.col("t")), of).alias("x")).select("rid", "doc", "t", "x.*"), codec="zstd")
+        blocks = blocks_by_join(seen.select("rid", "t"), index)
+    found = matches(ordered_blocks(blocks, freq), table).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("label", "score", "c", "k"))).alias("found"))
+    none = F.expr("CAST(array() AS array<struct<label:string,score:double,c:int,k:int>>)")
+    return seen.select("rid", "doc", "n_words", "places").join(checked(cut(found), "found"), "rid", "left").select("doc", "n_words", "places", F.coalesce("found", none).alias("found"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -151,12 +151,11 @@ def licenses() -> str:
     at = " UNION ALL ".join(
         f"SELECT rid, i - 1 AS start, '{label}' AS label FROM (SELECT rid, w, unnest(range(1, len(w) - {len(p.split()) - 2})) AS i FROM w) WHERE array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}'" for p, label in ls.PHRASES
     )
-    rows = ls.ordered(ls.TEMPLATES, {}, ls.THRESHOLD)
-    values = ", ".join(f"('{k}', {need}, [{', '.join(repr(x) for x in ws)}])" for k, ws, need in rows)
+    values = ", ".join(f"('{k}', {ls.size_class(len(t.split()))}, {ls.needed(len(set(t.split())), ls.THRESHOLD)}, {sorted(set(t.split()))!r})" for k, t in sorted(ls.TEMPLATES.items()))
     return f"""WITH {ROWS}, w AS MATERIALIZED (SELECT rid, doc_id, {ALNUM} AS w FROM d), pl AS MATERIALIZED ({at}),
-        tp(label, need, ws) AS (VALUES {values}),
-        ln AS MATERIALIZED (SELECT rid, list_distinct({ALNUM}) AS b FROM (SELECT rid, unnest(string_split(t, chr(10))) AS t FROM d)),
-        f AS (SELECT rid, label, len(list_intersect(b, ws)) / len(ws) AS score FROM ln JOIN tp ON len(list_intersect(b, ws)) >= need),
+        tp(label, c, need, ws) AS (VALUES {values}),
+        bl AS MATERIALIZED (SELECT rid, c, list_distinct(w[k * c + 1:k * c + 2 * c]) AS b FROM (SELECT rid, w, c, unnest(range((len(w) + c - 1) // c)) AS k FROM w CROSS JOIN (SELECT DISTINCT c FROM tp))),
+        f AS (SELECT rid, label, len(list_intersect(b, ws)) / len(ws) AS score FROM bl JOIN tp ON tp.c = bl.c AND len(list_intersect(b, ws)) >= need),
         p1 AS (SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY 1),
         al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM pl UNION SELECT rid, label FROM f) GROUP BY 1),
         sc AS (SELECT rid, max(score) AS best FROM f GROUP BY 1)
