@@ -39,18 +39,21 @@ def quality() -> str:
         f"z AS MATERIALIZED (SELECT g, {z} FROM st JOIN g1 ON st.lang IS NOT DISTINCT FROM g1.lang AND st.source IS NOT DISTINCT FROM g1.source WHERE NOT base_failed)",
         "cells AS (" + " UNION ALL ".join(f"SELECT g, {i} AS k, CAST(floor({qr.GRID_Z} * z{i}) AS BIGINT) AS bin FROM z" for i in P) + ")",
         _quantile("med", "cells", "g, k", 0.5, "b"),
-        "p0 AS MATERIALIZED (SELECT g, " + ", ".join(f"max(CASE WHEN k = {i} THEN b / {qr.GRID_Z} END) AS m{i}" for i in P) + ", " + ", ".join(f"0.0 AS s{i}{j}" for i, j in pairs) + " FROM med GROUP BY g)",
+        "mc AS MATERIALIZED (SELECT g, " + ", ".join(f"max(CASE WHEN k = {i} THEN b / {qr.GRID_Z} END) AS c{i}" for i in P) + " FROM med GROUP BY g)",
+        f"sm AS MATERIALIZED (SELECT g, {', '.join(f'any_value(c{i}) AS c{i}' for i in P)}, {', '.join(qr.start_sums())} FROM (SELECT z.g, {z}, {', '.join(f'c{i}' for i in P)}, {', '.join(qr.directions())} FROM z JOIN mc USING (g)) GROUP BY g)",
+        "p0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT g, {k} AS start, {', '.join(e)} FROM sm" for k, e in qr.start_params().items()) + ")",
     ]
     for step in range(qr.STEPS):
         parts += [
-            f"f{step} AS MATERIALIZED (SELECT g, {m}, {s}, {chol} FROM p{step})",
-            f"e{step} AS MATERIALIZED (SELECT *, {qr.dist_bin()} FROM (SELECT g, {z}, {dist} FROM z JOIN f{step} USING (g)))",
-            _quantile(f"b{step}", f"e{step}", "g", qr.COVERAGE, "top"),
-            f"p{step + 1} AS MATERIALIZED (SELECT g, {', '.join(qr.moments())}, count(*) AS h FROM e{step} JOIN b{step} USING (g) WHERE bin <= top GROUP BY g)",
+            f"f{step} AS MATERIALIZED (SELECT g, start, {m}, {s}, {chol} FROM p{step})",
+            f"e{step} AS MATERIALIZED (SELECT *, {qr.dist_bin()} FROM (SELECT g, start, {z}, {dist} FROM z JOIN f{step} USING (g)))",
+            _quantile(f"b{step}", f"e{step}", "g, start", qr.COVERAGE, "top"),
+            f"p{step + 1} AS MATERIALIZED (SELECT g, start, {', '.join(qr.moments())}, count(*) AS h FROM e{step} JOIN b{step} USING (g, start) WHERE bin <= top GROUP BY g, start)",
         ]
     n = qr.STEPS
     parts += [
-        f"ff AS MATERIALIZED (SELECT g, h, {m}, {s}, {chol} FROM p{n})",
+        f"fa AS MATERIALIZED (SELECT g, start, h, {m}, {s}, {chol} FROM p{n})",
+        f"ff AS MATERIALIZED (SELECT * EXCLUDE start FROM fa QUALIFY row_number() OVER (PARTITION BY g ORDER BY {qr.log_determinant()}, start) = 1)",
         f"ee AS (SELECT g, {qr.dist_bin()} FROM (SELECT g, {dist} FROM z JOIN ff USING (g)))",
         _quantile("mm", "ee", "g", 0.5, "mid"),
         f"u AS MATERIALIZED (SELECT lang, source, ff.*, greatest(exp((mid + 1) / {qr.GRID_D}) / {qr.CHI2_4_MEDIAN}, 1.0) AS scale FROM g1 JOIN ff USING (g) JOIN mm USING (g) WHERE g <> 'all' OR h >= {qr.COVERAGE} * {qr.MIN_ROWS})",

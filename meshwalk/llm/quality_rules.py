@@ -6,12 +6,19 @@ each language and source tells how far a document is from the bulk of its group.
 Everything is DataFrame or SQL expressions: one pass over the texts makes a
 narrow table, and all estimation runs on that.
 
+An estimate starts from each of ``STARTS``, which are computed and not drawn:
+the coordinates' medians in units of the floors, mean and covariance of all rows, and
+the covariance of the rows' directions from the medians. From each, concentration
+steps (mean and covariance of the ``COVERAGE`` nearest rows) go on until they no
+longer change, or ``STEPS`` times; the one of the least determinant is taken.
+
 The h-subsets come from counts on a fixed logarithmic grid of distances, not
 from sorting a group, so a source with a third of all rows costs no task more
 than any other: every aggregate combines before its shuffle.
 
-Defined results: a null or empty text has no words and fails the base rules; a
-null language or source is a value of its own; repeated rows are judged each on
+Defined results: a null or empty text has no words and fails the base rules; a text
+of any length is read as a whole, in n log n; other columns, whatever their names, come
+along; a null language or source is a value of its own; repeated rows are judged each on
 its own; groups under ``min_rows`` rows pool by language, then over everything,
 and if even that is too small only the base rules decide. An empty table gives
 an empty table.
@@ -41,7 +48,8 @@ FLOORS = [0.10, 0.35, 0.35, 0.10]
 P = range(1, 5)
 PAIRS = [(i, j) for i in P for j in range(1, i + 1)]
 CHI2_4_MEDIAN, CHI2_4_CUTOFF = 3.3566939800, 28.4732600000  # quantiles 0.5 and 0.99999
-COVERAGE, STEPS, MIN_ROWS = 0.75, 3, 60
+COVERAGE, STEPS, MIN_ROWS = 0.75, 8, 60
+STARTS = (0, 1, 2)  # medians, all rows, directions
 GRID_Z, GRID_D = 256.0, 32.0
 #: Groups whose estimates are broadcast, at some 250 bytes each.
 BROADCAST_GROUPS = 100_000
@@ -100,6 +108,44 @@ def moments() -> list[str]:
     return means + [f"avg(z{i} * z{j}) - avg(z{i}) * avg(z{j}) AS s{i}{j}" for i, j in PAIRS]
 
 
+#: Columns of an estimate: centre and lower triangle of the covariance.
+ESTIMATE = [f"m{i}" for i in P] + [f"s{i}{j}" for i, j in PAIRS]
+
+
+def log_determinant() -> str:
+    """Of the covariance with the floors added, rounded so that equal estimates tie."""
+    return "round(" + " + ".join(f"ln(l{i}{i})" for i in P) + ", 6)"
+
+
+def directions() -> list[str]:
+    """Rows as directions from the medians c: of length 1 in units of the floors, 0 at the medians."""
+    far = " + ".join(f"pow((z{i} - c{i}) / {FLOORS[i - 1]}, 2)" for i in P)
+    return [f"sqrt({far}) AS far", *(f"(CASE WHEN far > 0 THEN (z{i} - c{i}) / far ELSE 0 END) AS u{i}" for i in P)]
+
+
+def start_params() -> dict[int, list[str]]:
+    """The estimate of each start, as aggregates or expressions over a group's sums."""
+    return {
+        0: [*(f"c{i} AS m{i}" for i in P), *(f"CAST(0 AS DOUBLE) AS s{i}{j}" for i, j in PAIRS)],
+        1: [*(f"a{i} AS m{i}" for i in P), *(f"q{i}{j} - a{i} * a{j} AS s{i}{j}" for i, j in PAIRS)],
+        2: [*(f"c{i} AS m{i}" for i in P), *(f"d{i}{j} AS s{i}{j}" for i, j in PAIRS)],
+    }
+
+
+def start_sums() -> list[str]:
+    means = [f"avg(z{i}) AS a{i}" for i in P]
+    return means + [f"avg(z{i} * z{j}) AS q{i}{j}" for i, j in PAIRS] + [f"avg(u{i} * u{j}) AS d{i}{j}" for i, j in PAIRS]
+
+
+def starts(z: DataFrame, medians: DataFrame) -> DataFrame:
+    """g, start and the estimate that each start begins with."""
+    rows = z.join(medians, "g").selectExpr("g", *(f"z{i}" for i in P), *(f"c{i}" for i in P), *directions())
+    sums = cut(rows.groupBy("g").agg(*(F.first(f"c{i}").alias(f"c{i}") for i in P), *map(F.expr, start_sums())))
+    of = start_params()
+    out = [sums.selectExpr("g", f"{k} AS start", *of[k]) for k in STARTS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def grid_quantile(cells: DataFrame, keys: list[str], q: float, name: str) -> DataFrame:
     """Least grid cell at which a share ``q`` of each key's rows is reached. cells: keys, bin."""
     keyed = ", ".join(keys)
@@ -137,18 +183,22 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, min_rows: int
     z = stats.where("NOT base_failed").select("lang", "source", *(F.expr(f"{e} AS z{i}") for i, e in zip(P, STATS)))
     z = cut(z.alias("z").join(keys.alias("k"), F.expr("z.lang <=> k.lang AND z.source <=> k.source")).select("g", *(f"z{i}" for i in P)))
 
-    # Start: the rows nearest to the coordinates' medians, in units of the floors.
     cells = z.selectExpr("g", "inline(array(" + ", ".join(f"struct({i} AS k, CAST(floor({GRID_Z} * z{i}) AS BIGINT) AS bin)" for i in P) + "))")
-    medians = grid_quantile(cells, ["g", "k"], 0.5, "b").groupBy("g").agg(*(F.max(F.expr(f"CASE WHEN k = {i} THEN b / {GRID_Z} END")).alias(f"m{i}") for i in P))
-    params = cut(medians.selectExpr("g", *(f"m{i}" for i in P), *(f"CAST(0 AS DOUBLE) AS s{i}{j}" for i, j in PAIRS)))
+    medians = cut(grid_quantile(cells, ["g", "k"], 0.5, "b").groupBy("g").agg(*(F.max(F.expr(f"CASE WHEN k = {i} THEN b / {GRID_Z} END")).alias(f"c{i}") for i in P)))
+    params = cut(starts(z, medians))
     for _ in range(steps):
-        d = z.join(params.selectExpr("g", *(f"m{i}" for i in P), *(f"s{i}{j}" for i, j in PAIRS), *cholesky()), "g").selectExpr("g", *(f"z{i}" for i in P), *distance())
+        d = z.join(params.selectExpr("g", "start", *ESTIMATE, *cholesky()), "g").selectExpr("g", "start", *(f"z{i}" for i in P), *distance())
         # A table of known size, so that where groups are few the rows aren't shuffled for the join.
-        bound = cut(grid_quantile(d.selectExpr("g", dist_bin()), ["g"], COVERAGE, "top"))
-        inside = d.selectExpr("*", dist_bin()).join(bound, "g").where("bin <= top")
-        params = cut(inside.groupBy("g").agg(*map(F.expr, moments()), F.count("*").alias("h")))
+        bound = cut(grid_quantile(d.selectExpr("g", "start", dist_bin()), ["g", "start"], COVERAGE, "top"))
+        inside = d.selectExpr("*", dist_bin()).join(bound, ["g", "start"]).where("bin <= top")
+        old, params = params, cut(inside.groupBy("g", "start").agg(*map(F.expr, moments()), F.count("*").alias("h")))
+        moved = " OR ".join(f"abs(n.{c} - o.{c}) > 1e-12" for c in ESTIMATE)
+        if params.alias("n").join(old.alias("o"), ["g", "start"]).where(moved).isEmpty():
+            break
+    factors = params.selectExpr("g", "start", "h", *ESTIMATE, *cholesky()).selectExpr("*", f"{log_determinant()} AS size")
+    least = factors.groupBy("g").agg(F.min(F.struct("size", "start")).alias("least"))
+    factors = cut(factors.join(least, "g").where("start = least.start").drop("least", "start", "size"))
     # Distances are scaled so that the median one is that of a normal distribution.
-    factors = params.selectExpr("g", "h", *(f"m{i}" for i in P), *(f"s{i}{j}" for i, j in PAIRS), *cholesky())
     mid = grid_quantile(z.join(factors, "g").selectExpr("g", *distance()).selectExpr("g", dist_bin()), ["g"], 0.5, "mid")
     scaled = cut(factors.join(mid, "g").withColumn("scale", F.expr(f"greatest(exp((mid + 1) / {GRID_D}) / {CHI2_4_MEDIAN}, 1.0D)")))
     used = cut(keys.join(scaled, "g").where(f"g <> 'all' OR h >= {COVERAGE} * {min_rows}"))
