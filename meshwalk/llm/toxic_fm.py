@@ -41,8 +41,10 @@ ship(__name__)
 
 BITS, PREFIX, FACTORS = 20, 5, 6
 MAX_FIT, LEAST_DOCS = 12_000, 3
-#: Rounds of weights alone and of both, batches a round, step; pulls to 0 of weights and factors, to be divided by the root of the rows.
-FIRST, ROUNDS, BATCHES, RATE, PULL, PULL_FACTORS, SPREAD = 20, 35, 12, 0.7, 0.02, 0.5, 0.02
+#: Rounds of weights alone, all rounds, batches a round, steps of weights and of factors, pulls to 0 of both (over the root of the rows),
+#: spread of the factors at first (over the root of a row's cells), the squared slope that they begin to count from,
+#: and the most that a row of a rare label 1 weighs.
+FIRST, ROUNDS, BATCHES, RATE, RATE_FACTORS, PULL, PULL_FACTORS, SPREAD, CALM, RARE = 20, 40, 12, 0.7, 0.1, 0.02, 0.4, 0.18, 1e-5, 3.0
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -115,12 +117,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     x, rng = Rows(rows, ids), np.random.default_rng(seed)
     pull, pull_factors = PULL / np.sqrt(len(y)), PULL_FACTORS / np.sqrt(len(y))
     w, v = np.zeros(len(ids)), np.zeros((len(ids), FACTORS))
-    seen_w, seen_v, seen_b = np.full(len(ids), 1e-8), np.full(len(ids), 1e-8), 1e-8
+    seen_w, seen_v, seen_b = np.full(len(ids), 1e-8), np.full(len(ids), CALM), 1e-8
     size = max(64, -(-len(y) // BATCHES))
+    weight = np.where(y > 0, min(RARE, max(1.0, (1 - share) / share)), 1.0)
     for turn in range(ROUNDS):
         pairs = turn >= FIRST
         if turn == FIRST:
-            v = rng.normal(0, SPREAD, v.shape)
+            v = rng.normal(0, SPREAD / np.sqrt(max(1.0, x.count.mean())), v.shape)
         order = rng.permutation(len(y))
         for at in range(0, len(y), size):
             some = order[at : at + size]
@@ -131,7 +134,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
                 vc = v[cell]
                 s1 = np.stack([add(vc[:, f]) for f in range(FACTORS)], axis=1)
                 z = z + 0.5 * ((s1 * s1).sum(axis=1) - add((vc * vc).sum(axis=1)))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) * weight[some] / len(some)
             gw = np.bincount(cell, e[row], len(ids))
             seen_w += gw * gw
             step = RATE / np.sqrt(seen_w)
@@ -140,7 +143,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
             if pairs:
                 gv = np.stack([np.bincount(cell, e[row] * s1[row, f], len(ids)) for f in range(FACTORS)], axis=1) - gw[:, None] * v
                 seen_v += (gv * gv).mean(axis=1)
-                step = RATE / np.sqrt(seen_v)
+                step = RATE_FACTORS / np.sqrt(seen_v)
                 v = v - step[:, None] * gv
                 v *= np.maximum(1 - step * pull_factors / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12), 0)[:, None]
             seen_b += e.sum() ** 2
