@@ -4,7 +4,7 @@ Every window of 20 words is an edge of the de Bruijn graph of the corpus, betwee
 its first and its last 19 words. Most edges lie on paths without branches, which
 occur as a whole or not at all. So each document is cut where the least hashed
 6-word run of its window changes: consecutive windows that hold the same
-occurrence of that run, the path's anchor, travel as one row of (anchor, hash of
+occurrence of that run, the path's anchor, travel as one row of (anchor, digest of
 the path, coordinates, windows), about one row in eight words. All windows of
 a path are different, as each holds its anchor elsewhere.
 
@@ -14,10 +14,11 @@ anchor with several classes is where the graph branches, and only there are sing
 windows compared, one class at a time whatever its number of occurrences. A window
 is repeated if its source coordinates aren't the first of its class.
 
-The 64-bit hashes of anchor and path only find candidates. A span is removed only if
-its words are those at the source coordinates: both ends' words are read and compared
-by their BLAKE2b digests, which have nothing in common with the hashes; inside one
-document the words themselves are compared. What fails stays.
+The 64-bit hashes of words and anchors only find candidates. A span is removed only if
+its words are those at the source coordinates: classes are formed by the BLAKE2b digest
+of the words that are read at each of their coordinates, which has nothing in common
+with the hashes; inside one document the words themselves are compared. Spans that are
+hashed alike and have other words stay.
 
 Coordinates are a row's own number and the word, so rows that share a doc_id, or have
 none, are documents of their own; doc_id is for the order of occurrences alone, and
@@ -85,9 +86,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def digests(words: list[bytes], start, count) -> list[int]:
-    """Signed 64-bit digests of the words of spans; a span has count words."""
-    return [int.from_bytes(blake2b(b" ".join(words[s : s + n]), digest_size=8).digest(), "little", signed=True) for s, n in zip(start.tolist(), count.tolist(), strict=True)]
+def digests(words: list[bytes], start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """64-bit digests of the words of spans; a span has count words."""
+    raw = b"".join(blake2b(b" ".join(words[s : s + n]), digest_size=8).digest() for s, n in zip(start.tolist(), count.tolist(), strict=True))
+    return np.frombuffer(raw, "<i8")
 
 
 class Paths:
@@ -159,7 +161,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, r, text -> anchor, path, d, r, s, n, v: each document's first occurrence of each path; v: digest of its words."""
+    """d, r, text -> anchor, path (digest of its words), d, r, s, n: each document's first occurrence of each path."""
     for b in batches:
         parts = []
         for d, r, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), strict=True):
@@ -168,9 +170,9 @@ def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = Paths(words)
                 s, n = p.start[p.first], p.windows[p.first]
                 full = lambda x: np.full(len(s), x, np.int64)  # noqa: B023, E731
-                parts.append((p.anchor[p.first], p.path[p.first], full(d), full(r), s, n, np.array(digests(words, s, n + WINDOW - 1), np.int64)))
+                parts.append((p.anchor[p.first], digests(words, s, n + WINDOW - 1), full(d), full(r), s, n))
         if parts:
-            yield _columns(parts, ["anchor", "path", "d", "r", "s", "n", "v"])
+            yield _columns(parts, ["anchor", "path", "d", "r", "s", "n"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +191,9 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             bit = np.concatenate([np.arange(x) for x in n])
             at = np.repeat(p.start[k], n) + bit
             full = lambda x: np.full(len(at), x, np.int64)  # noqa: B023, E731
-            parts.append((np.repeat(p.anchor[k], n), np.repeat(p.path[k], n), full(d), full(r), at, bit, mix(p.hashes(at, WINDOW)), np.array(digests(words, at, np.full(len(at), WINDOW)), np.int64)))
+            parts.append((np.repeat(p.anchor[k], n), np.repeat(digests(words, p.start[k], n + WINDOW - 1), n), full(d), full(r), at, bit, digests(words, at, np.full(len(at), WINDOW))))
         if parts:
-            yield _columns(parts, ["anchor", "path", "d", "r", "at", "bit", "h", "v"])
+            yield _columns(parts, ["anchor", "path", "d", "r", "at", "bit", "h"])
 
 
 def kept_words(words: list[bytes], marks: list[int] | None) -> list[bytes]:
@@ -239,23 +241,21 @@ def repeats(rows: DataFrame) -> DataFrame:
     """Repeated paths of numbered rows: r, s, mask (windows from word s on that occurred before), source_r, source_s (where its first repeated window stands first)."""
     shared = cut(rows.select("t").mapInArrow(_emit_anchors, "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"))
     texts = rows.select("d", "r", "t")
-    paths = texts.mapInArrow(_emit_paths, "anchor long, path long, d long, r long, s long, n long, v long")
+    paths = texts.mapInArrow(_emit_paths, "anchor long, path long, d long, r long, s long, n long")
     found = cut(paths.join(shared, "anchor", "left_semi"))
-    classes = cut(found.groupBy("anchor", "path").agg(F.min(F.struct("d", "r", "s", "v")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")))
+    classes = cut(found.groupBy("anchor", "path").agg(F.min(F.struct("d", "r", "s")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")))
     branching = classes.groupBy("anchor").count().where("count > 1").select("anchor")
     border = classes.join(branching, "anchor", "left_semi").select("first.r", "first.s")
     want = cut(border.groupBy("r").agg(F.collect_list("s").alias("want")))
-    single = cut(texts.join(checked(want, "want", BROADCAST_BYTES), "r").select("d", "r", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, r long, at long, bit long, h long, v long"))
-    first = single.groupBy("anchor", "h").agg(F.min(F.struct("d", "r", "at", "v")).alias("one"))
-    earlier = (F.struct("one.d", "one.r", "one.at") < F.struct("d", "r", "at")) & (F.col("one.v") == F.col("v"))
-    masks = single.join(first, ["anchor", "h"]).where(earlier).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"), F.min_by("one", "bit").alias("origin"))
+    single = cut(texts.join(checked(want, "want", BROADCAST_BYTES), "r").select("d", "r", "t", "want").mapInArrow(_emit_windows, "anchor long, path long, d long, r long, at long, bit long, h long"))
+    first = single.groupBy("anchor", "h").agg(F.min(F.struct("d", "r", "at")).alias("one"))
+    masks = single.join(first, ["anchor", "h"]).where(F.col("one") < F.struct("d", "r", "at")).groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("part"), F.min_by("one", "bit").alias("origin"))
     full = F.expr("shiftleft(1L, CAST(n AS INT)) - 1")
     known = cut(classes.select("anchor", "path", "first", "times").join(masks, ["anchor", "path"], "left").where("times > 1 OR part IS NOT NULL"))
     met = found.join(known, ["anchor", "path"])
     own_class = (F.col("first.r") == F.col("r")) & (F.col("first.s") == F.col("s"))
     source = F.when(own_class, F.struct(F.col("origin.r").alias("r"), F.col("origin.at").alias("s"))).otherwise(F.struct("first.r", "first.s"))
-    # Another row's words are those at the source coordinates, or nothing is marked.
-    mask = F.when(own_class, F.coalesce("part", F.lit(0))).when(F.col("first.v") == F.col("v"), full).otherwise(0)
+    mask = F.when(own_class, F.coalesce("part", F.lit(0))).otherwise(full)
     return met.select("r", "s", mask.alias("mask"), source["r"].alias("source_r"), source["s"].alias("source_s")).where("mask <> 0")
 
 
