@@ -16,6 +16,8 @@ from meshwalk.plans.durable import cut, discard
 from .components import connected_components
 
 INF = float("inf")
+#: A limit of so many hops means none: what isn't settled by then is an error, not an answer.
+UNBOUNDED = 1000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -31,14 +33,20 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def counted(edges: DataFrame) -> DataFrame:
+    """(src, dst, _k): the edges, computed once before a loop, with how often each is there."""
+    return cut(edges.groupBy("src", "dst").agg(F.count("*").alias("_k")))
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, max_iter: int = 20, epsilon: float | None = None) -> DataFrame:
     """(node, rank). Parallel edges count; what has no out-edge passes nothing on."""
-    nodes = cut((nodes_of(edges) if nodes is None else nodes).select("node").distinct())
+    links = counted(edges)
+    nodes = cut((nodes_of(links) if nodes is None else nodes).select("node").distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    degree = edges.groupBy("src").agg(F.count("*").alias("_deg"))
-    shares = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("_k")).join(degree, "src").select("src", "dst", (F.col("_k") / F.col("_deg")).alias("share")))
+    degree = links.groupBy("src").agg(F.sum("_k").alias("_deg"))
+    shares = cut(links.join(degree, "src").select("src", "dst", (F.col("_k") / F.col("_deg")).alias("share")), [links])
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(max_iter):
         sent = shares.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
@@ -56,12 +64,14 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, max_hops: int = 1024) -> Data
     """(node, level): hops from the nearest seed, over nodes that can be reached."""
     new = cut(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     seen = new
-    ends = edges.select("src", "dst")
+    ends = cut(edges.select("src", "dst").distinct())
     for level in range(1, max_hops + 1):
         new = cut(new.join(ends, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
         if new.isEmpty():
-            break
-        seen = cut(seen.unionByName(new))
+            return seen
+        seen = cut(seen.unionByName(new), [seen])
+    if max_hops >= UNBOUNDED:
+        raise RuntimeError(f"levels did not settle in {max_hops} hops")
     return seen
 
 
@@ -88,7 +98,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     Edges point from the end of lower degree, so no node is the middle of more than
     the square root of the edges' number of paths, hubs included.
     """
-    pairs = undirected(edges)
+    pairs = cut(undirected(edges))
     degree = both_ways(pairs).groupBy("src").agg(F.count("*").alias("d"))
     ranked = pairs.join(degree.select(F.col("src"), F.col("d").alias("ds")), "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
     low_first = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
@@ -107,7 +117,8 @@ def triangle_counts(edges: DataFrame) -> DataFrame:
 
 def motifs3(edges: DataFrame) -> DataFrame:
     """Counts of the connected 3-node shapes of the undirected simple graph: open wedges and triangles."""
-    degree = both_ways(undirected(edges)).groupBy("src").agg(F.count("*").alias("d"))
+    edges = cut(undirected(edges))
+    degree = both_ways(edges).groupBy("src").agg(F.count("*").alias("d"))
     wedges = degree.agg(F.coalesce(F.sum(F.expr("d * (d - 1) / 2")).cast("long"), F.lit(0)).alias("wedges"))
     closed = triangles(edges).agg(F.count("*").alias("triangles"))
     return wedges.join(F.broadcast(closed)).select((F.col("wedges") - 3 * F.col("triangles")).alias("open_wedges"), "triangles")
@@ -154,8 +165,8 @@ def k_truss(edges: DataFrame, k: int, max_iter: int = 1000) -> DataFrame:
 
 def hits(edges: DataFrame, nodes: DataFrame | None = None, max_iter: int = 20) -> DataFrame:
     """(node, hub, authority), each with unit Euclidean length."""
-    nodes = cut((nodes_of(edges) if nodes is None else nodes).select("node").distinct())
-    links = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("_k")))
+    links = counted(edges)
+    nodes = cut((nodes_of(links) if nodes is None else nodes).select("node").distinct())
     n = max(1, nodes.count())
     hub = nodes.withColumn("x", F.lit(n**-0.5))
     auth = hub
@@ -174,8 +185,8 @@ def hits(edges: DataFrame, nodes: DataFrame | None = None, max_iter: int = 20) -
 
 def katz(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.01, beta: float = 1.0, max_iter: int = 20) -> DataFrame:
     """(node, score): score = alpha * A^T score + beta, so many times from 0."""
-    nodes = cut((nodes_of(edges) if nodes is None else nodes).select("node").distinct())
-    links = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("_k")))
+    links = counted(edges)
+    nodes = cut((nodes_of(links) if nodes is None else nodes).select("node").distinct())
     score = nodes.withColumn("score", F.lit(0.0))
     for _ in range(max_iter):
         got = links.join(score.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("_k")).alias("_in"))
@@ -185,8 +196,8 @@ def katz(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.01,
 
 def eigenvector(edges: DataFrame, nodes: DataFrame | None = None, max_iter: int = 20) -> DataFrame:
     """(node, score) by power iteration along the edges, with unit Euclidean length."""
-    nodes = cut((nodes_of(edges) if nodes is None else nodes).select("node").distinct())
-    links = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("_k")))
+    links = counted(edges)
+    nodes = cut((nodes_of(links) if nodes is None else nodes).select("node").distinct())
     score = nodes.withColumn("score", F.lit(max(1, nodes.count()) ** -0.5))
     for _ in range(max_iter):
         got = links.join(score.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("_k")).alias("_in"))

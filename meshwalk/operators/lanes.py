@@ -1,10 +1,12 @@
 """Many-seed traversals: one frontier per lane, all in one plan with a ``lane`` column.
 
-There is no limit of 64 lanes; only bit masks (bigint) speak of lanes 0 to 63.
+There is no limit of 64 lanes. Bit masks (bigint) hold 64 lanes each: block b has
+lanes 64 b to 64 b + 63, and an expression on ``lane`` sees one block's mask at a time.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -30,19 +32,38 @@ def lane_hop(lanes: DataFrame, edges: DataFrame, direction: str = "out", tripped
 
 
 def lane_closure(lanes: DataFrame, edges: DataFrame, direction: str = "out", max_hops: int = 1024, tripped: DataFrame | None = None) -> DataFrame:
+    edges = cut(edges.select("src", "dst", *(["edge_id"] if tripped is not None else [])).distinct())
+    tripped = cut(tripped.select("lane", "edge_id").distinct()) if tripped is not None else None
     seen = cut(lanes.select("lane", "node").distinct())
     new = seen
     for _ in range(max_hops):
         new = cut(lane_hop(new, edges, direction, tripped).join(seen, ["lane", "node"], "left_anti"), [new] if new is not seen else ())
         if new.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(new), [seen])
+    if max_hops >= 1000:
+        raise RuntimeError(f"the closure did not settle in {max_hops} hops")
     return seen
 
 
 def masks(lanes: DataFrame) -> DataFrame:
-    """(node, mask) of lanes 0 to 63."""
-    return lanes.where(F.col("lane").between(0, 63)).groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lane").cast("int"))).alias("mask"))
+    """(node, block, mask): the lanes of each block that hold the node."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("lane", F.lit(64)).cast("int"))
+    return lanes.groupBy("node", F.floor(F.col("lane") / 64).cast("long").alias("block")).agg(F.bit_or(bit).alias("mask"))
+
+
+def mask_hop(packed: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
+    """One hop of (node, block, mask), 64 lanes in a row."""
+    near, far = ("src", "dst") if direction == "out" else ("dst", "src")
+    ends = edges.select(F.col(near).alias("_near"), F.col(far).alias("_far"))
+    return packed.join(ends, F.col("node") == F.col("_near")).groupBy(F.col("_far").alias("node"), "block").agg(F.bit_or("mask").alias("mask"))
+
+
+def lane_sizes(packed: DataFrame) -> DataFrame:
+    """(lane, n): how many nodes each lane of the masks holds, for lanes of at least one."""
+    on = lambda i: F.sum(F.call_function("shiftrightunsigned", F.col("mask"), F.lit(i)).bitwiseAND(F.lit(1).cast("long")))
+    by = packed.groupBy("block").agg(F.array(*(on(i) for i in range(64))).alias("sizes"))
+    return by.select((F.col("block") * 64).alias("first"), F.posexplode("sizes").alias("bit", "n")).where("n > 0").select((F.col("first") + F.col("bit")).alias("lane"), "n")
 
 
 @dataclass(frozen=True)
@@ -136,35 +157,42 @@ class MultiLane:
     def difference(self, other: MultiLane) -> MultiLane:
         return replace(self, lanes=self.lanes.join(other.lanes, ["lane", "node"], "left_anti"))
 
-    def _with_attributes(self) -> DataFrame:
-        """(node, mask, attributes) of every node of any lane."""
+    def _with_attributes(self, expression: str) -> DataFrame:
+        """(node, attributes) of every node of any lane, by block and with the mask as ``lane`` where the expression may ask for it."""
         nodes = self.catalog.domain(self.domain).nodes.dropDuplicates(["node"])
-        return masks(self.lanes).withColumnRenamed("mask", "lane").join(nodes, "node", "left")
+        held = masks(self.lanes).withColumnsRenamed({"mask": "lane", "block": "_block"}) if re.search(r"\blane\b", expression) else self.lanes.select("node").distinct()
+        return held.join(nodes, "node", "left")
+
+    def _where(self, expression: str, how: str) -> MultiLane:
+        df = self._with_attributes(expression)
+        met = df.where(cel.compile_test(expression, cel.columns_of(df.dtypes), self.params))
+        if "_block" not in df.columns:
+            return replace(self, lanes=self.lanes.join(met.select("node"), "node", how))
+        own = self.lanes.withColumn("_block", F.floor(F.col("lane") / 64).cast("long"))
+        return replace(self, lanes=own.join(met.select("node", "_block"), ["node", "_block"], how).select("lane", "node"))
 
     def filter(self, expression: str) -> MultiLane:
-        """Nodes of all lanes where the expression holds; ``lane`` is the node's mask."""
-        df = self._with_attributes()
-        kept = df.where(cel.compile_test(expression, cel.columns_of(df.dtypes), self.params)).select("node")
-        return replace(self, lanes=self.lanes.join(kept, "node", "left_semi"))
+        """Nodes where the expression holds; ``lane`` is the node's mask, block of 64 lanes by block."""
+        return self._where(expression, "left_semi")
 
     def project(self, expression: str) -> MultiLane:
         """``lane = expr`` makes the mask new; anything else stores a value for each node."""
         tree = cel.optimise(cel.parse(expression))
-        df = self._with_attributes()
+        df = self._with_attributes(expression)
         of = cel.Compiler(cel.columns_of(df.dtypes), self.params)
         if isinstance(tree, cel.Op) and tree.name == "=":
             if tree.args[0] != cel.Name("lane"):
                 raise cel.CelError("only lane can be assigned")
             mask = of.typed(tree.args[1]).col.cast("long")
             bit = lambda i: F.call_function("shiftrightunsigned", F.col("_m"), i.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-            rows = df.select("node", mask.alias("_m")).select("node", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), bit)).alias("lane"))
-            return replace(self, lanes=rows.select("lane", "node"))
+            rows = df.select("node", "_block", mask.alias("_m")).select("node", "_block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), bit)).alias("_bit"))
+            return replace(self, lanes=rows.select((F.col("_block") * 64 + F.col("_bit")).alias("lane"), "node"))
+        if "_block" in df.columns:
+            df = df.where("_block = 0")  # one value a node: that of the first 64 lanes' mask
         return replace(self, values=df.select("node", of.typed(tree).col.cast("double").alias("value")))
 
     def prune_where(self, expression: str) -> MultiLane:
-        df = self._with_attributes()
-        gone = df.where(cel.compile_test(expression, cel.columns_of(df.dtypes), self.params)).select("node")
-        return replace(self, lanes=self.lanes.join(gone, "node", "left_anti"))
+        return self._where(expression, "left_anti")
 
     def prune_nodes(self, nodes: DataFrame) -> MultiLane:
         return replace(self, lanes=self.lanes.join(nodes.select("node"), "node", "left_anti"))
@@ -210,7 +238,7 @@ class MultiLane:
     # --------------------------------------------------------------- terminals
 
     def collect(self) -> DataFrame:
-        """(node, mask, popcount)."""
+        """(node, block, mask, popcount); lanes 0 to 63 are block 0."""
         return masks(self.lanes).withColumn("popcount", F.bit_count("mask"))
 
     def attribution(self) -> DataFrame:
@@ -225,22 +253,25 @@ class MultiLane:
 
     def set_cover_pairs(self, lanes: Sequence[int]) -> DataFrame:
         """(a, b) of nodes that together are held by all of the lanes; candidates meet by the lanes they lack."""
-        full = sum(1 << i for i in lanes)
-        m = masks(self.lanes.where(F.col("lane").isin(list(lanes))))
+        if len(set(lanes)) > 63:
+            raise ValueError(f"{len(set(lanes))} lanes; a pair is sought for 63 at most")
+        full = (1 << len(set(lanes))) - 1
+        place = F.create_map(*(F.lit(x) for i, k in enumerate(sorted(set(lanes))) for x in (k, i)))
+        m = masks(self.lanes.where(F.col("lane").isin(list(lanes))).select(place[F.col("lane").cast("int")].alias("lane"), "node"))
         kinds = cut(m.groupBy("mask").agg(F.count("*").alias("n")))  # at most 2 ** lanes rows
         good = kinds.select(F.col("mask").alias("ma")).join(kinds.select(F.col("mask").alias("mb")), F.col("ma").bitwiseOR(F.col("mb")) == F.lit(full).cast("long"))
         a = m.select(F.col("node").alias("a"), F.col("mask").alias("ma")).join(good, "ma")
         return a.join(m.select(F.col("node").alias("b"), F.col("mask").alias("mb")), "mb").where("a < b").select("a", "b")
 
-    def greedy_set_cover(self, max_nodes: int = 64) -> DataFrame:
-        """(step, node, gain): the node of most lanes not yet covered, ties by least id, until all are."""
+    def greedy_set_cover(self, max_nodes: int | None = None) -> DataFrame:
+        """(step, node, gain): the node of most lanes not yet covered, ties by least id, until all are or ``max_nodes`` are taken."""
         left, out = cut(self.lanes.select("lane", "node").distinct()), []
-        while len(out) < max_nodes:
+        while max_nodes is None or len(out) < max_nodes:
             best = left.groupBy("node").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "node").first()
             if best is None:
                 break
             out.append((len(out), best["node"], best["gain"]))
-            left = cut(left.join(left.where(F.col("node") == best["node"]).select("lane"), "lane", "left_anti"))
+            left = cut(left.join(left.where(F.col("node") == best["node"]).select("lane"), "lane", "left_anti"), [left])
         return self.catalog.spark.createDataFrame(out, "step int, node long, gain long")
 
     def top_k_with_quorum(self, k: int, quorum: int) -> DataFrame:

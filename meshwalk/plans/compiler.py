@@ -16,6 +16,10 @@ from .catalog import GraphCatalog
 from .durable import cut
 
 
+#: A limit of so many hops means none: what isn't settled by then is an error, not an answer.
+UNBOUNDED = 1000
+
+
 def hop(frontier: DataFrame, edges: DataFrame, direction: str = "out", distinct: bool = True) -> DataFrame:
     """{v : (u, v) an edge, u in the frontier}; reversed for ``in``, both ways for ``both``."""
     if direction == "both":
@@ -57,15 +61,18 @@ def closure(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_hops
 
     ``functional`` relations (one way on at most) are squared instead, unless few hops are asked for.
     """
-    if functional and include_seeds and max_hops >= 1000 and is_functional(edges, direction):
+    if functional and include_seeds and max_hops >= UNBOUNDED and is_functional(edges, direction):
         return doubled(seeds.select("node"), edges, direction)
+    edges = cut(edges.select("src", "dst").distinct())
     seen = cut(seeds.select("node").distinct()) if include_seeds else cut(hop(seeds.select("node").distinct(), edges, direction))
     new = seen
     for _ in range(max_hops if include_seeds else max_hops - 1):
         new = cut(hop(new, edges, direction).join(seen, "node", "left_anti"), [new] if new is not seen else ())
         if new.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(new), [seen])
+    if max_hops >= UNBOUNDED:
+        raise RuntimeError(f"the closure did not settle in {max_hops} hops")
     return seen
 
 

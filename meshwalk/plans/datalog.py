@@ -255,6 +255,8 @@ class Evaluator:
                 continue
             new = {p: cut(df) for p, df in start.items()}
             self.known.update(new)
+            for a in (b for r in loops for b in r.body if isinstance(b, Atom) and b.pred in self.catalog.relations and b.pred not in self.known):
+                self.known[a.pred] = cut(self.base(a).distinct())  # once, not in every round
             for _ in range(self.max_iter):
                 step: dict[str, DataFrame] = {}
                 for r in loops:

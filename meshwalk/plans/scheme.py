@@ -17,7 +17,7 @@ from meshwalk.operators import algebra as A
 from meshwalk.operators import vectors as V
 from meshwalk.operators.lanes import MultiLane
 
-from .catalog import GraphCatalog
+from .catalog import GraphCatalog, number_rows
 from .compiler import closure, hop
 
 
@@ -192,8 +192,10 @@ class Evaluator:
         return self._set(r, 1).where("value IS NOT NULL").orderBy(F.desc("value"), "node").limit(int(r[0]))
 
     def do_lane_init_seeds(self, r: list) -> MultiLane:
-        ids = [self.ev(i) for i in r[0]] if r and isinstance(r[0], list) and r[0] else [x["node"] for x in self.current.orderBy("node").limit(4096).collect()]
-        return MultiLane(self.catalog).from_seeds(self.domain, ids)
+        """A lane for each id given, or for each node of the set, in their order."""
+        if r and isinstance(r[0], list) and r[0]:
+            return MultiLane(self.catalog).from_seeds(self.domain, [self.ev(i) for i in r[0]])
+        return MultiLane(self.catalog).from_groups(self.domain, number_rows(self.current.select("node").distinct(), ["node"], "lane"))
 
     def do_lane_csr_walk(self, r: list) -> MultiLane:
         return self.current.out(str(r[0]))

@@ -17,7 +17,7 @@ from meshwalk.operators import statistics as T
 from meshwalk.operators import vectors as V
 from meshwalk.operators.components import connected_components
 from meshwalk.operators.edge_programs import EdgeProgram
-from meshwalk.operators.lanes import MultiLane, lane_hop
+from meshwalk.operators.lanes import MultiLane, lane_hop, lane_sizes, mask_hop, masks
 from meshwalk.plans.catalog import GraphCatalog
 from meshwalk.plans.engine import Engine
 from meshwalk.plans.traversal import traverse
@@ -60,8 +60,10 @@ FOUR = """FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN line
 def flagship(g: GraphCatalog) -> DataFrame:
     """Customers that bought some part that a customer bought, for all customers at once."""
     seeds = g.domain("customer").nodes.select(F.col("node").alias("lane"), "node")
-    m = MultiLane(g, seeds, "customer").out("PLACED").out("CONTAINS").in_("CONTAINS").in_("PLACED")
-    return m.lanes.groupBy("lane").agg(F.count("*").alias("n"))
+    packed = masks(seeds)
+    for relation, way in (("PLACED", "out"), ("CONTAINS", "out"), ("CONTAINS", "in"), ("PLACED", "in")):
+        packed = mask_hop(packed, g.relation(relation).edges, way)
+    return lane_sizes(packed)
 
 
 @on_graph("four_hops", f"SELECT DISTINCT o2.o_custkey AS node {FOUR} WHERE o.o_custkey = 1")
@@ -351,7 +353,10 @@ def components_chain(g):
     return connected_components(g.relation("NEXT_EVENT").edges)
 
 
-@on_graph("triangles", f"WITH {CO}, {_PAIRS} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst")
+_ORIENTED = f"{CO}, {_PAIRS}, {_LINKS}, d AS (SELECT src, count(*) AS d FROM links GROUP BY 1), e AS MATERIALIZED (SELECT CASE WHEN (x.d, p.src) < (y.d, p.dst) THEN p.src ELSE p.dst END AS u, CASE WHEN (x.d, p.src) < (y.d, p.dst) THEN p.dst ELSE p.src END AS v FROM pairs p JOIN d x ON x.src = p.src JOIN d y ON y.src = p.dst)"
+
+
+@on_graph("triangles", f"WITH {_ORIENTED} SELECT least(x.u, x.v, y.v) AS a, x.u + x.v + y.v - least(x.u, x.v, y.v) - greatest(x.u, x.v, y.v) AS b, greatest(x.u, x.v, y.v) AS c FROM e x JOIN e y ON x.u = y.u AND x.v < y.v JOIN pairs z ON z.src = x.v AND z.dst = y.v")
 def triangles(g):
     return G.triangles(_co(g))
 
@@ -368,8 +373,29 @@ def motifs3(g):
 
 on_graph("core_numbers")(lambda g: G.core_numbers(_co(g)))
 on_graph("k_truss")(lambda g: G.k_truss(_co(g), 4))
-on_graph("hits")(lambda g: G.hits(g.relation("CO_BOUGHT").edges, max_iter=5).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority")))
-on_graph("eigenvector")(lambda g: G.eigenvector(g.relation("CO_BOUGHT").edges, max_iter=5).select("node", F.round("score", 9).alias("score")))
+def _hits_sql(n: int) -> str:
+    parts = [CO, _NODES, "h0 AS MATERIALIZED (SELECT node, 1 / sqrt((SELECT count(*) FROM nodes)) AS x FROM nodes)"]
+    for i in range(1, n + 1):
+        for name, source, near, far in ((f"a{i}", f"h{i - 1}", "src", "dst"), (f"h{i}", f"a{i}", "dst", "src")):
+            parts += [
+                f"{name}r AS MATERIALIZED (SELECT n.node, coalesce(s, 0) AS x FROM nodes n LEFT JOIN (SELECT {far} AS node, sum(x) AS s FROM co JOIN {source} p ON p.node = co.{near} GROUP BY 1) t ON t.node = n.node)",
+                f"{name} AS MATERIALIZED (SELECT node, x / (SELECT sqrt(sum(x * x)) FROM {name}r) AS x FROM {name}r)",
+            ]
+    return f"WITH {', '.join(parts)} SELECT h.node, round(h.x, 9) AS hub, round(a.x, 9) AS authority FROM h{n} h JOIN a{n} a ON a.node = h.node"
+
+
+def _eigenvector_sql(n: int) -> str:
+    parts = [CO, _NODES, "r0 AS MATERIALIZED (SELECT node, 1 / sqrt((SELECT count(*) FROM nodes)) AS x FROM nodes)"]
+    for i in range(1, n + 1):
+        parts += [
+            f"q{i} AS MATERIALIZED (SELECT n.node, coalesce(s, 0) AS x FROM nodes n LEFT JOIN (SELECT dst AS node, sum(x) AS s FROM co JOIN r{i - 1} p ON p.node = co.src GROUP BY 1) t ON t.node = n.node)",
+            f"r{i} AS MATERIALIZED (SELECT node, x / (SELECT sqrt(sum(x * x)) FROM q{i}) AS x FROM q{i})",
+        ]
+    return f"WITH {', '.join(parts)} SELECT node, round(x, 9) AS score FROM r{n}"
+
+
+on_graph("hits", _hits_sql(5))(lambda g: G.hits(g.relation("CO_BOUGHT").edges, max_iter=5).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority")))
+on_graph("eigenvector", _eigenvector_sql(5))(lambda g: G.eigenvector(g.relation("CO_BOUGHT").edges, max_iter=5).select("node", F.round("score", 9).alias("score")))
 on_graph("communities")(lambda g: G.communities(_co(g), 6))
 on_graph("spanning_forest")(lambda g: G.minimum_spanning_forest(_co(g), "orders"))
 on_graph("betweenness")(lambda g: G.betweenness(_co(g), g.domain("part").nodes.where("p_size = 50").select("node")).select("node", F.round("score", 6).alias("score")))
@@ -427,7 +453,10 @@ on_graph("lane_universal", f"WITH {_LANE} SELECT node FROM ln GROUP BY 1 HAVING
 on_graph("lane_attribution", f"WITH {_LANE} SELECT node, array_to_string(list_sort(list(lane)), ',') AS lanes FROM ln GROUP BY 1")(lambda g: _bought(g).attribution().select("node", F.array_join(F.transform("lanes", lambda x: x.cast("string")), ",").alias("lanes")))
 on_graph("lane_steiner", f"WITH {_LANE}, {CO} SELECT src, dst FROM co WHERE src IN (SELECT node FROM ln) AND dst IN (SELECT node FROM ln)")(lambda g: _bought(g).steiner_subgraph("CO_BOUGHT", 2)[1])
 on_graph("lane_cover_pairs", f"WITH {_LANE}, m AS (SELECT node, bit_or(CAST(1 AS BIGINT) << lane) AS mask FROM ln WHERE lane < 2 GROUP BY 1) SELECT x.node AS a, y.node AS b FROM m x JOIN m y ON x.node < y.node AND (x.mask | y.mask) = 3")(lambda g: _bought(g).set_cover_pairs([0, 1]))
-on_graph("lane_greedy_cover")(lambda g: _bought(g).greedy_set_cover())
+_GREEDY = [f"WITH {_LANE}, l0 AS (SELECT * FROM ln)"]
+for _i in range(4):
+    _GREEDY.append(f"g{_i} AS MATERIALIZED (SELECT CAST({_i} AS INTEGER) AS step, node, count(*) AS gain FROM l{_i} GROUP BY node ORDER BY 3 DESC, 2 LIMIT 1), l{_i + 1} AS MATERIALIZED (SELECT * FROM l{_i} WHERE lane NOT IN (SELECT lane FROM l{_i} WHERE node IN (SELECT node FROM g{_i})))")
+on_graph("lane_greedy_cover", ", ".join(_GREEDY) + " SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3")(lambda g: _bought(g).greedy_set_cover())
 on_graph("lane_topk_quorum", f"WITH {_LANE} SELECT node, CAST(count(*) AS DOUBLE) AS value FROM ln GROUP BY 1 HAVING count(*) >= 1 ORDER BY 2 DESC, 1 LIMIT 15")(lambda g: _bought(g).top_k_with_quorum(15, 1))
 
 
@@ -596,3 +625,80 @@ def scatter_gather(g):
     f = g.domain("orders").nodes.select("node", F.array(F.round(F.col("o_totalprice") * 100), F.year("o_orderdate").cast("double")).alias("value"))
     r = A.scatter_gather(g.relation("CONTAINS").edges, f)
     return r.select("node", F.col("value")[0].alias("mean_cents"), F.round(F.col("value")[1], 6).alias("mean_year"))
+
+
+# ------------------------------------------------- the rest of the instruction set
+
+_EDGE = "SELECT l_partkey AS node, {} AS value FROM lineitem{} GROUP BY 1"
+
+
+def _program(name: str, sql: str, make, how: str, digits: int = 4) -> None:
+    on_graph(f"edge_program_{name}", sql)(lambda g: make(EdgeProgram(g, "CONTAINS")).reduce("v", how).select("node", F.round("value", digits).alias("value")))
+
+
+_program("add", _EDGE.format("round(sum(l_quantity + l_linenumber), 4)", ""), lambda p: p.let("v", "edge.l_quantity + edge.l_linenumber"), "SUM")
+_program("modulo", _EDGE.format("round(sum(CAST(l_linenumber % 3 AS DOUBLE)), 4)", ""), lambda p: p.let("v", "edge.l_linenumber % 3"), "SUM")
+_program("unary", _EDGE.format("round(sum(sqrt(l_quantity)), 4)", ""), lambda p: p.let("v", "sqrt(edge.l_quantity)"), "SUM")
+_program("select", _EDGE.format("max(CASE WHEN l_quantity > 25 THEN l_quantity ELSE 0 END)", ""), lambda p: p.let("v", "edge.l_quantity > 25 ? edge.l_quantity : 0.0"), "MAX")
+_program("less", _EDGE.format("CAST(count(*) AS DOUBLE)", " WHERE l_quantity < 10"), lambda p: p.let("v", "1").where("edge.l_quantity < 10"), "COUNT")
+_program("equal", _EDGE.format("CAST(count(*) AS DOUBLE)", " WHERE l_linenumber = 2"), lambda p: p.let("v", "1").where("edge.l_linenumber == 2"), "COUNT")
+_program("not_equal", _EDGE.format("CAST(count(*) AS DOUBLE)", " WHERE l_linenumber <> 2"), lambda p: p.let("v", "1").where("edge.l_linenumber != 2"), "COUNT")
+_program("or_not", _EDGE.format("CAST(count(*) AS DOUBLE)", " WHERE l_linenumber = 1 OR NOT l_quantity > 20"), lambda p: p.let("v", "1").where("edge.l_linenumber == 1 || !(edge.l_quantity > 20)"), "COUNT")
+
+
+@on_graph("edge_program_argmin", "SELECT l_partkey AS node, o_totalprice AS value, o_orderkey AS arg FROM lineitem JOIN orders ON o_orderkey = l_orderkey QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY o_totalprice, o_orderkey) = 1")
+def edge_program_argmin(g):
+    return EdgeProgram(g, "CONTAINS").let("p", "src.o_totalprice").reduce("p", "ARGMIN")
+
+
+def _fact(g, value: bool) -> DataFrame:
+    return g.spark.createDataFrame([(value,)], "result boolean")
+
+
+_TEN, _CHEAP = "SELECT p_partkey AS node, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size < 20", "SELECT p_partkey AS node, p_retailprice AS value FROM part WHERE p_retailprice < 1200"
+on_graph("vec_compare_eq", "SELECT p_partkey AS node FROM part WHERE p_size = 10")(lambda g: A.compare(traverse(g).all("part").attribute("p_size"), "EQ", 10.0))
+on_graph("vec_ewise_add", f"SELECT coalesce(a.node, b.node) AS node, round(coalesce(a.value, 0) + coalesce(b.value, 0), 4) AS value FROM ({_TEN}) a FULL JOIN ({_CHEAP}) b ON a.node = b.node")(
+    lambda g: A.ewise(traverse(g).all("part").filter("p_size < 20").attribute("p_size"), traverse(g).all("part").filter("p_retailprice < 1200.0").attribute("p_retailprice"), "ADD", outer=True).select("node", F.round("value", 4).alias("value")))
+on_graph("stable_check", f"SELECT count(*) = 0 AS result FROM ({_SETS[0]} EXCEPT {_SETS[1]})")(lambda g: _fact(g, A.is_subset(_sets(g)[0].nodes(), _sets(g)[1].nodes())))
+on_graph("contains", "SELECT count(*) > 0 AS result FROM orders WHERE o_custkey = 4 AND o_orderkey = 1")(lambda g: _fact(g, traverse(g).from_("customer", 4).out("PLACED").contains(1)))
+on_graph("adjacent", "SELECT count(*) > 0 AS result FROM lineitem WHERE l_orderkey = 1 AND l_partkey = 1")(lambda g: _fact(g, A.adjacent(g.relation("CONTAINS").edges, 1, 1)))
+on_graph("lookup_equals", "SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'MACHINERY'")(lambda g: K.equals(g.domain("customer").nodes, "c_mktsegment", "MACHINERY"))
+on_graph("lookup_zones", "SELECT min(p_retailprice) AS low, max(p_retailprice) AS high, count(*) AS rows FROM part")(lambda g: K.zone_map(g.domain("part").nodes, "p_retailprice", 0, 1e9).select("low", "high", "rows"))
+on_graph("islands", "SELECT CAST(0 AS BIGINT) AS l1, CAST(1 AS BIGINT) AS l2 UNION ALL SELECT 0, 2 UNION ALL SELECT 0, 3 UNION ALL SELECT 1, 2 UNION ALL SELECT 1, 3 UNION ALL SELECT 2, 3")(
+    lambda g: (lambda e: G.island_pairs(e, e))(g.spark.createDataFrame([(0, 1, 2), (1, 2, 3), (2, 3, 4), (3, 4, 1)], "edge_id long, src long, dst long")))
+on_graph("delta_transmute", "SELECT CAST(p_size AS VARCHAR) AS size, p_partkey AS id FROM part")(lambda g: deltas.transmute(g.domain("part").nodes.select("node", "p_size", "p_type"), {"p_size": "string"}, ["p_type"], {"p_size": "size", "node": "id"}))
+on_graph("delta_clustered", "SELECT o_custkey AS src, o_orderkey AS dst FROM orders")(lambda g: deltas.clustered(g.relation("PLACED").edges.select("src", "dst"), ["src"]))
+
+
+@on_graph("snapshot_merge", "SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_totalprice > 150000 OR o_totalprice < 100000")
+def snapshot_merge(g):
+    one, two = GraphCatalog(g.spark), GraphCatalog(g.spark)
+    for c, test in ((one, "o_totalprice > 150000"), (two, "o_totalprice > 200000 OR o_totalprice < 100000")):
+        c.domains = dict(g.domains)
+        c.add_relation("PLACED", g.relation("PLACED").edges.where(test).select("src", "dst"), "src", "dst", "customer", "orders", [])
+    return deltas.merge(one, two).relation("PLACED").edges.select("src", "dst")
+
+
+_TWO = "la AS (SELECT lane, node FROM ln), lb AS (SELECT DISTINCT list_position([2, 1, 5, 9], CAST(o_custkey AS INT)) - 1 AS lane, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (2, 1, 5, 9))"
+
+
+def _other(g):
+    return MultiLane(g).from_seeds("customer", [2, 1, 5, 9]).out("PLACED").out("CONTAINS")
+
+
+for _name, _word in (("union", "UNION"), ("intersect", "INTERSECT"), ("difference", "EXCEPT")):
+    on_graph(f"lane_set_{_name}", f"WITH {_LANE}, {_TWO} SELECT CAST(lane AS INT) AS lane, node FROM (SELECT * FROM la {_word} SELECT * FROM lb)")(lambda g, how=_name: getattr(_bought(g), how)(_other(g)).lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+on_graph("lane_prune_where", f"WITH {_LANE} SELECT CAST(lane AS INT) AS lane, node FROM ln JOIN part ON p_partkey = node WHERE NOT p_size > 20")(lambda g: _bought(g).prune_where("p_size > 20").lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+on_graph("lane_to_traversal", f"WITH {_LANE} SELECT DISTINCT l_suppkey AS node FROM lineitem WHERE l_partkey IN (SELECT node FROM ln GROUP BY 1 HAVING count(*) >= 2)")(lambda g: _bought(g).to_traversal(2).out("SUPPLIED_BY").nodes())
+
+_MANY = "SELECT DISTINCT o_custkey - 1 AS lane, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey BETWEEN 1 AND 100"
+
+
+def _hundred(g):
+    return MultiLane(g).from_seeds("customer", list(range(1, 101))).out("PLACED").out("CONTAINS")
+
+
+on_graph("lanes_beyond_64_filter", f"SELECT CAST(lane AS INT) AS lane, node FROM ({_MANY}) JOIN part ON p_partkey = node WHERE p_size > 20")(lambda g: _hundred(g).filter("p_size > 20").lanes.select(F.col("lane").cast("int").alias("lane"), "node"))
+on_graph("lanes_beyond_64_masks", f"SELECT node, CAST(lane // 64 AS BIGINT) AS block, bit_or(CAST(1 AS BIGINT) << CAST(lane % 64 AS INT)) AS mask, count(*) AS popcount FROM ({_MANY}) WHERE lane <> 63 GROUP BY 1, 2")(
+    lambda g: _hundred(g).prune_lanes([63]).collect().select("node", "block", "mask", F.col("popcount").cast("long").alias("popcount")))
+on_graph("lanes_beyond_64_pruned", f"WITH ln AS ({_MANY}) SELECT CAST(lane AS INT) AS lane, node FROM ln WHERE (lane // 64, node) NOT IN (SELECT (lane // 64, node) FROM ln WHERE lane % 64 = 0)")(lambda g: _hundred(g).prune_where("has_any(lane, 1)").lanes.select(F.col("lane").cast("int").alias("lane"), "node"))

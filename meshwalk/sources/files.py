@@ -41,8 +41,13 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     if first is None:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (columns or ["_c0", "_c1"])))
     if header:
-        names = next(iter(__import__("csv").reader([first[0]], delimiter=sep)))
-        lines = lines.where(F.col("value") != first[0])
+        # The header is the first such line of each file; equal lines further down are data.
+        at = kept.select("value", F.input_file_name().alias("_f"), F.monotonically_increasing_id().alias("_i"))
+        heads = at.groupBy("_f").agg(F.min("_i").alias("_i"))
+        first = at.join(heads, ["_f", "_i"]).orderBy("_f").first()
+        names = next(iter(__import__("csv").reader([first["value"]], delimiter=sep)))
+        first = [first["value"]]
+        lines = at.join(F.broadcast(heads), ["_f", "_i"], "left_anti").select("value")
     width = len(next(iter(__import__("csv").reader([first[0]], delimiter=sep))))
     names = names or [f"_c{i}" for i in range(width)]
     schema = ", ".join(f"`{c}` string" for c in names)
