@@ -1,5 +1,7 @@
 """Vector similarity, exact top-k and reranking, and measures of approximate results.
 
+The approximate search itself is in ``vector_index``.
+
 Larger is nearer for every metric: dot, cosine, l2 (minus the squared distance),
 hamming (minus the number of different signs). Missing vectors or dimensions that
 differ have no score.

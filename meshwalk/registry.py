@@ -14,6 +14,7 @@ from meshwalk.operators import algorithms as G
 from meshwalk.operators import lookups as K
 from meshwalk.operators import sampling as S
 from meshwalk.operators import statistics as T
+from meshwalk.operators import vector_index as I
 from meshwalk.operators import vectors as V
 from meshwalk.operators.components import connected_components
 from meshwalk.operators.edge_programs import EdgeProgram
@@ -556,6 +557,32 @@ def vector_normalise(g):
     return g.domain("embeddings").nodes.select("node", F.round(V.similarity(V.normalise(F.col("embedding")), V.normalise(F.col("embedding")), "dot"), 6).alias("length"))
 
 
+def _asked(g) -> DataFrame:
+    """The stated queries of the index: every row whose id is divisible by 20."""
+    return g.domain("embeddings").nodes.where("node % 20 = 0").select(F.col("node").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _index(g, metric: str = "cosine") -> I.VectorIndex:
+    vectors = g.domain("embeddings").nodes
+    return I.build(vectors, I.fit(vectors, metric, "node"), "node")
+
+
+on_graph("vector_index_search")(lambda g: I.search(_index(g), _asked(g), 10).withColumn("score", F.round("score", 6)))
+
+_PAIR = {"cosine": "list_cosine_similarity(q.v, e.v)", "l2": "-pow(list_distance(q.v, e.v), 2)", "dot": "list_inner_product(q.v, e.v)"}
+for _m, _sql in _PAIR.items():
+    on_graph(f"vector_index_all_cells_{_m}", f"""WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id AS node, {_sql} AS score FROM e q, e WHERE q.vec_id % 20 = 0)
+        SELECT query, node, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 10""")(
+        lambda g, m=_m: (lambda x: I.search(x, _asked(g), 10, len(x.cells.centres)).select("query", "node", F.round("score", 6).alias("score")))(_index(g, m)))
+
+
+@on_graph("vector_index_quality")
+def vector_index_quality(g):
+    """Of the index as it is searched, against all of its cells."""
+    x, asked = _index(g), _asked(g)
+    return V.quality(I.search(x, asked, 10), I.search(x, asked, 10, len(x.cells.centres)), 10)
+
+
 # ------------------------------------------------------- statistics and lookups
 
 _DEG = f"d AS (SELECT c_custkey AS node, count(dst) AS degree FROM customer LEFT JOIN ({PLACED}) ON src = c_custkey GROUP BY 1)"
