@@ -111,7 +111,7 @@ def grouped(lines: DataFrame, min_docs: int) -> DataFrame:
             often = often.join(sized(size.where(F.col("lines") >= min_docs)), "leaf").where(F.col("count") >= share * F.col("lines"))
         constant = runs.join(sized(often.select("leaf", "i", "h")), ["leaf", "i", "h"]).groupBy("lid").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("i", "h")).alias("mark"))
         near = left.drop("key").join(constant, "lid").where(F.col("constants") >= SAME * F.size("parts"))
-        near = cut(near.withColumn("key", F.xxhash64("leaf", "constants", "mark")).drop("constants", "mark"))
+        near = cut(near.withColumn("key", F.xxhash64("leaf", "constants", "mark")).drop("constants", "mark"), [left])
         keys = supported(near, "key", min_docs)
         got = near.join(keys, "key", "left_semi").select("lid", "key")
         found = got if found is None else found.unionByName(got)
@@ -137,7 +137,7 @@ def parsed(docs: DataFrame, min_docs: int) -> DataFrame:
     # An end of a text differs from all else: the text's own hash stands for it.
     end = lambda c: F.when(F.col(c) == 0, F.col("th")).otherwise(F.col(c))
     met = met.withColumns({"before": F.first("before").over(block), "after": F.last("after").over(block)})
-    return cut(met.withColumns({"before": end("before"), "after": end("after")}).drop("run", "place"))
+    return cut(met.withColumns({"before": end("before"), "after": end("after")}).drop("run", "place"), [lines, groups])
 
 
 def recurring(lines: DataFrame, min_docs: int) -> DataFrame:
