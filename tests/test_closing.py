@@ -46,3 +46,18 @@ def test_paths_are_not_shuffled(spark):
     plan = G.triangles(e)._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" in plan.splitlines()[1] or "MapInArrow" in plan.splitlines()[0]
     assert G.triangles(e.limit(0)).count() == 0
+
+
+def test_triangles_are_counted_where_they_are_found(spark, monkeypatch):
+    monkeypatch.setattr(closing, "GROUP_EDGES", 37)
+    rng = random.Random(9)
+    e = [(rng.randrange(40) * 10**12 - 7, rng.randrange(40) * 10**12 - 7) for _ in range(230)]
+    n = near(e)
+    want = [t for t in itertools.combinations(sorted(n), 3) if t[1] in n[t[0]] and t[2] in n[t[0]] and t[2] in n[t[1]]]
+    edges = spark.createDataFrame(e, "src long, dst long")
+    counts = G.triangle_counts(edges)
+    assert {r["node"]: r["triangles"] for r in counts.collect()} == {x: k for x in n if (k := sum(x in t for t in want))} and len(want) > 50
+    for found in (counts,):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "close_counted" in plan and "Generate explode(array(a" not in plan  # no row for a triangle
+    assert G.triangle_counts(edges.limit(0)).count() == 0
