@@ -57,7 +57,9 @@ def test_triangles_are_counted_where_they_are_found(spark, monkeypatch):
     edges = spark.createDataFrame(e, "src long, dst long")
     counts = G.triangle_counts(edges)
     assert {r["node"]: r["triangles"] for r in counts.collect()} == {x: k for x in n if (k := sum(x in t for t in want))} and len(want) > 50
-    for found in (counts,):
+    motifs = G.motifs3(edges)
+    assert [tuple(r) for r in motifs.collect()] == [(sum(len(x) * (len(x) - 1) // 2 for x in n.values()) - 3 * len(want), len(want))]
+    for found in (counts, motifs):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "close_counted" in plan and "Generate explode(array(a" not in plan  # no row for a triangle
-    assert G.triangle_counts(edges.limit(0)).count() == 0
+    assert G.triangle_counts(edges.limit(0)).count() == 0 and [tuple(r) for r in G.motifs3(edges.limit(0)).collect()] == [(0, 0)]
